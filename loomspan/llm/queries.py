@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import attribution, mixing, packing, token_files
+from . import attribution, chat, mixing, packing, simhash, token_files
 from .common import shared_path, table
 
 
@@ -16,6 +17,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.read_chats(chat.format_chats(rows.unionByName(own))))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -35,10 +43,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [x for k, x in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL}
+    return {"op2_chat_format": chat.SQL, "op8_mixing": mixing.SQL}
