@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, mixing, packing, simhash, token_files
-from .common import shared_path, table
+from . import ann, attribution, chat, media, mixing, packing, simhash, token_files
+from .common import save, shared_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -24,6 +28,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_chats(chat.format_chats(rows.unionByName(own))))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(save(spark, media.store(table(spark, sf_dir, "documents")), "media", compression="zstd"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
