@@ -23,6 +23,7 @@ def reach_workers(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("OMP_NUM_THREADS", "1")  # a worker has one core
 
 
 def shared_base(spark: SparkSession) -> str:
