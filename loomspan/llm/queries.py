@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, attribution, chat, langid, media, mixing, packing, simhash, token_files
+from . import ann, attribution, chat, langid, media, mixing, packing, pii, simhash, token_files
 from .common import save, shared_path, table
 
 
@@ -32,6 +32,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(save(spark, media.store(table(spark, sf_dir, "documents")), "media", compression="zstd"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
