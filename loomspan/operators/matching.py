@@ -117,9 +117,9 @@ def best(candidates: DataFrame, probe: str, length: str, *ties: str) -> DataFram
     return candidates.withColumn("rank", F.row_number().over(by)).filter("rank = 1").drop("rank")
 
 
-def batches(packets: DataFrame, track: str, order: list[str], size: int = 64) -> DataFrame:
+def batches(packets: DataFrame, track: list[str], order: list[str], size: int = 64) -> DataFrame:
     """batch: packets of one track in runs of `size`, in order."""
-    by = Window.partitionBy(track).orderBy(*order)
+    by = Window.partitionBy(*track).orderBy(*order)
     return packets.withColumn("batch", F.floor((F.row_number().over(by) - 1) / size).cast("long"))
 
 

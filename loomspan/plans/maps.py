@@ -268,10 +268,11 @@ def zigzag(spark: SparkSession, d: str) -> DataFrame:
     return v.filter(rle.unzigzag(F.col("coded")) == F.col("v"))
 
 
-@query(f"WITH {PACKETS} SELECT track, seq, stream, ((row_number() OVER (PARTITION BY track ORDER BY stream, seq) - 1) // 64)::BIGINT AS batch FROM packets")
+@query(f"WITH {PACKETS}, f AS (SELECT *, stream % 100 AS target FROM packets) SELECT target, track, seq, stream, ((row_number() OVER (PARTITION BY target, track ORDER BY stream, seq) - 1) // 64)::BIGINT AS batch FROM f")
 def batch_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Packets of a track in batches of 64."""
-    return matching.batches(packets(spark, d).select("track", "seq", "stream"), "track", ["stream", "seq"])
+    """Packets of a target's track in batches of 64."""
+    p = packets(spark, d).select((F.col("stream") % 100).alias("target"), "track", "seq", "stream")
+    return matching.batches(p, ["target", "track"], ["stream", "seq"])
 
 
 @query(
