@@ -42,7 +42,7 @@ def tree_conflicts(files: DataFrame, order: str, path: str) -> DataFrame:
     """Each file's standing in the tree: ok, duplicate (of an earlier one) or folder (of another)."""
     claims = files.groupBy(path).agg(F.min(order).alias("first"))
     parts = F.split(path, "/")
-    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias(path)).filter(f"{path} <> ''").distinct().withColumn("is_folder", F.lit(True))
+    folders = files.filter(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias(path)).filter(f"{path} <> ''").distinct().withColumn("is_folder", F.lit(True))
     out = files.join(claims, path).join(folders, path, "left")
     status = F.when(F.col("is_folder"), "folder").when(F.col(order) > F.col("first"), "duplicate").otherwise("ok")
     return out.select(order, path, status.alias("status"))
