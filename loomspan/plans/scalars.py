@@ -91,14 +91,14 @@ def formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '?', 1) AS path FROM pages)
+    """WITH p AS (SELECT page_id, split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS path FROM pages)
 SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/') AS cleaned,
   path <> '' AND NOT list_contains(string_split(path, '/'), '..') AS valid, 'base/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/') AS joined,
   regexp_replace(regexp_replace(array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/'), '-', '\\\\x2d', 'g'), '/', '-', 'g') AS escaped FROM p"""
 )
 def path_validity(spark: SparkSession, d: str) -> DataFrame:
     """Paths cleaned, checked, joined to a folder, and as one file name."""
-    path = F.coalesce(F.try_element_at(F.split(F.substring_index("url", "?", 1), "://"), F.lit(2)), F.lit(""))
+    path = F.coalesce(F.try_element_at(F.split(F.substring_index(F.substring_index("url", "?", 1), "#", 1), "://"), F.lit(2)), F.lit(""))
     cleaned = scalars.clean_path(path)
     return table(spark, d, "pages").select("page_id", cleaned.alias("cleaned"), scalars.valid_path(path).alias("valid"), F.substring(scalars.relative_to(path, F.lit("base")), 2, 10_000).alias("joined"), scalars.escape_mountpoint(path).alias("escaped"))
 
