@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_pass, portions
 
@@ -162,14 +161,21 @@ def train(docs: DataFrame) -> Network | None:
     """A network from labelled documents (doc_id, text, lang), without those held out."""
     learned = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     learned = learned.select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    count = learned.select("lang").distinct().count()
-    if not count:
+    counts = {r["lang"]: r["count"] for r in learned.groupBy("lang").count().collect()}  # a label each, which the network has anyway
+    if not counts:
         return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    learned = learned.withColumn("rank", rank).filter(F.col("rank") <= max(1, SAMPLE_DOCS // count))
+    most = max(1, SAMPLE_DOCS // len(counts))
+    # Hashes are even, so half as many again as wanted lie below this share of their range.
+    low, span = -(2**63), 2**64 - 1
+    bounds = [(k, low + min(span, int(span * 1.5 * most / n))) for k, n in counts.items()]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    learned = learned.join(bounds, "lang").filter("h <= bound")
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
     sample = learned.select("lang", "h", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).collect()
-    sample.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
+    held: dict[str, list] = {}
+    for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
+        held.setdefault(r["lang"], []).append(r)
+    sample = [r for own in held.values() for r in own[:most]]
     labels = sorted({r["lang"] for r in sample})
     words, owner = [], []
     for r in sample:
