@@ -8,7 +8,8 @@ is taken if half of it lies within the budget, so a source misses its target by
 document at most.
 
 No window runs over the documents of a source: they are counted in buckets of the key, the
-bucket in which the budget ends is found from the counts, and only that bucket is sorted.
+bucket in which the budget ends is found from the counts, by spans of buckets first, and only
+that bucket is sorted.
 The result is one row of cut-offs a source; documents are then decided one by one.
 
 Nulls and ties: a null source is a source of its own, after all others; null text has size
@@ -96,12 +97,14 @@ def cutoffs(
     src = src.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     src = save(spark, src.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-sources")
 
-    held = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("before", F.coalesce(F.sum("held").over(run), F.lit(0)))
-    held = _join(held, src.select("source", "rest"))
-    cut = held.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("held")))
-    cut = save(spark, cut.select("source", "bucket", "before", "rest"), "mix-cuts")
+    # Where the budget ends: in which span of buckets, then in which bucket of it.  Either way a
+    # source has about the square root of its buckets, so no window over one source grows large.
+    span = max(1, int(buckets**0.5))
+    held = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")).withColumn("span", F.floor(F.col("bucket") / span))
+    held = save(spark, held, "mix-held")
+    wide = _ends(held.groupBy("source", "span").agg(F.sum("held").alias("held")), src.select("source", F.lit(0).cast("long").alias("base"), "rest"), "span")
+    within = _join(held, wide.select("source", F.col("span").alias("in_span"), "base", "rest")).filter("span = in_span")
+    cut = save(spark, _ends(within.select("source", "bucket", "held"), wide.select("source", "base", "rest"), "bucket").withColumnRenamed("base", "before"), "mix-cuts")
 
     edge = rows.groupBy("source", "bucket", "key", "doc_id", "size").agg(F.sum("size").alias("unit"))
     c = cut.select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before", "rest")
@@ -115,6 +118,16 @@ def cutoffs(
     return save(spark, out.withColumn("buckets", F.lit(buckets)), "mix-cutoffs")
 
 
+def _ends(held: DataFrame, budget: DataFrame, part: str) -> DataFrame:
+    """The part of each source in which its budget ends: source, part, base (words before it) and rest.
+
+    held (source, part, held), budget (source, base, rest).
+    """
+    run = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    held = _join(held, budget).withColumn("base", F.col("base") + F.coalesce(F.sum("held").over(run), F.lit(0)))
+    return held.filter((F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("held"))).select("source", part, "base", "rest")
+
+
 def _join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on source, null being a source."""
     right = right.withColumnRenamed("source", "r_source")
