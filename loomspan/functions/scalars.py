@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 #: AC-3 bit rates in kbit/s, by half the frame size code.
 AC3_RATES = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
 
@@ -156,6 +158,7 @@ def pack_entries(rows: DataFrame, key: str) -> DataFrame:
             raw = out.tobytes()
             yield pa.RecordBatch.from_arrays([batch[key], pa.array([raw[i : i + 28] for i in range(0, len(raw), 28)], pa.binary())], names=[key, "raw"])
 
+    prepare(rows.sparkSession)
     return rows.select(key, *ENTRY.names).mapInArrow(each, f"`{key}` {rows.schema[key].dataType.simpleString()}, raw binary")
 
 
@@ -171,6 +174,7 @@ def unpack_entries(rows: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch[key], *longs, *flags, pa.array(own["sub_id"].astype(np.int32))], names=names)
 
     kinds = "offset long, length long, source long, source_offset long, is_video boolean, is_lpcm boolean, sub_id int"
+    prepare(rows.sparkSession)
     return rows.select(key, "raw").mapInArrow(each, f"`{key}` {rows.schema[key].dataType.simpleString()}, {kinds}")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import prepare
+
 WINDOW = 64
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
@@ -59,6 +61,7 @@ def windows(texts: DataFrame, key: str, stride: int, window: int = WINDOW) -> Da
             out = [ids.take(at), pa.array(np.concatenate(pos)), pa.array(np.concatenate(hashes).view(np.int64))]
             yield pa.RecordBatch.from_arrays(out, names=[key, "pos", "hash"])
 
+    prepare(texts.sparkSession)
     return texts.select(key, "text").mapInArrow(each, f"{key} long, pos long, hash long")
 
 
@@ -102,6 +105,7 @@ def extend(hits: DataFrame, targets: DataFrame, target: str, sources: DataFrame,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["target", "source", "s", "e", "src"])
 
+    prepare(h.sparkSession)
     return h.select("target", "source", "diagonal", "places", "t_text", "s_text").mapInArrow(each, "target long, source long, s long, e long, src long")
 
 

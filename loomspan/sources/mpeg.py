@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import prepare
+
 PACK, SYSTEM, END, PADDING, PRIVATE = 0xBA, 0xBB, 0xB9, 0xBE, 0xBD
 RANGES = "file int, stream int, seq long, file_offset long, size long"
 
@@ -129,4 +131,5 @@ def ranges(blobs: DataFrame, kind: str, pids: tuple[int, ...] = ()) -> DataFrame
                     s, o, n = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([file] * len(s), pa.int32()), pa.array(s, pa.int32()), pa.array(range(len(s)), pa.int64()), pa.array(o, pa.int64()), pa.array(n, pa.int64())], names=["file", "stream", "seq", "file_offset", "size"])
 
+    prepare(blobs.sparkSession)
     return blobs.select("file", "bytes").mapInArrow(each, RANGES)
