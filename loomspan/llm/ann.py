@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, reach_workers, save
+from ..session import prepare
+from .common import arrow_pass, save
 
 SAMPLE, CHUNK, ASKED, ERROR = 20_000, 2048, 4096, 2.5
 
@@ -109,7 +110,7 @@ def search_chunk(ids: np.ndarray, vectors: np.ndarray, coded: tuple, centroid: n
 
 def neighbours(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 10, share: float = 0.8, max_lists: int = 4096) -> DataFrame:
     """rows (vec_id, embedding) -> query_id, rank, vec_id, score (Euclidean distance)."""
-    reach_workers(spark)
+    prepare(spark)
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     common = rows.filter(F.size("v") > 0).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,21 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from ..session import prepare
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Lets Python workers that share this machine's code folder import the package."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    env.setdefault("OMP_NUM_THREADS", "1")  # a worker has one core
-
-
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -77,10 +67,21 @@ def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
             if out is not None and out.num_rows:
                 yield out
 
-    reach_workers(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(each, schema)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks: the last thing asked for alone, so memory doesn't add up over operators."""
+    if _held.get("key") != key:
+        _held.clear()
+        _held.update(key=key, value=make())
+    return _held["value"]
+
+
 def portions(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `most` characters together, one text at least."""
     start, size = 0, 0

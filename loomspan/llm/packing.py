@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, portions, reach_workers, save
+from ..session import prepare
+from .common import arrow_pass, portions, save
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,7 +36,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, spaced: bool = False) -> DataFrame:
     """docs (doc_id, text) -> PIECES, with the ids themselves if asked for."""
-    reach_workers(docs.sparkSession)
+    prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

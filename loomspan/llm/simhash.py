@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, portions, reach_workers, save
+from ..session import prepare
+from .common import arrow_pass, portions, save
 from .components import components
 
 BLOCK = 2048
@@ -162,7 +163,7 @@ def linked(spark: SparkSession, classes: DataFrame, most: int) -> DataFrame:
     rows = rows.select("choice", "bits", (low * 65536 + high).cast("long").alias("pair"), "fp")
     key = ["choice", "bits", "pair"]
     rows = rows.repartition(*key).sortWithinPartitions(*key)
-    reach_workers(spark)
+    prepare(spark)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rest = (*key, "fp"), None

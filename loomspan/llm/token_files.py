@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, portions, reach_workers
+from ..session import prepare
+from .common import arrow_pass, portions
 from .tokens import encoder
 
 WRITER = {
@@ -42,7 +43,7 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>
 
 def encode_sorted(docs: DataFrame, path: str, end_id: int = 0, spaced: bool = True) -> DataFrame:
     """docs (doc_id, text) in their order within each partition -> SCHEMA."""
-    reach_workers(docs.sparkSession)
+    prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
