@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _CONTROL = r"(\\|<(?=\||/?s>)|\[(?=/?INST\]))"
@@ -49,25 +50,16 @@ def format_chats(rows: DataFrame) -> DataFrame:
             (t["role"] == "assistant").alias("learned"),
         ),
     )
-    chats = chats.select("conv_id", pieces.alias("pieces"))
-    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), ""), F.lit(END))
-    return chats.select("conv_id", formatted.alias("formatted"), _spans(F.col("pieces")).alias("loss"))
-
-
-def _spans(pieces: Column) -> Column:
-    """Start and length of every learned body: a running length over the pieces."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("said"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["head"]) + F.length(p["body"])).alias("at"),
-        F.when(p["learned"], F.concat(acc["said"], (acc["at"] + F.length(p["head"])).cast("string"), F.lit(":"), F.length(p["body"]).cast("string"), F.lit(",")))
-        .otherwise(acc["said"])
-        .alias("said"),
-    )
-    said = F.split(F.aggregate(pieces, zero, step)["said"], ",")
-    return F.transform(
-        F.filter(said, lambda x: x != ""),
-        lambda x: F.struct(F.substring_index(x, ":", 1).cast("long").alias("start"), F.substring_index(x, ":", -1).cast("long").alias("length")),
-    )
+    rows = chats.select("conv_id", F.posexplode(pieces).alias("i", "p"))
+    # Places are running lengths; rows of a conversation are together already, so nothing is shuffled again.
+    past = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("p.head") + F.length("p.body")).over(past), F.lit(0)).cast("long")
+    rows = rows.withColumn("start", before + F.length("p.head")).withColumn("length", F.length("p.body").cast("long"))
+    learned = F.when(F.col("p.learned"), F.struct("i", "start", "length"))
+    said = F.struct("i", F.concat("p.head", "p.body").alias("text"))
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("said"), F.array_sort(F.collect_list(learned)).alias("loss"))
+    loss = F.transform("loss", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return chats.select("conv_id", F.concat(F.array_join(F.col("said.text"), ""), F.lit(END)).alias("formatted"), loss.alias("loss"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
