@@ -71,10 +71,17 @@ def postings(texts: DataFrame, key: str, stride: int = WINDOW, window: int = WIN
     return w.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col(key).alias("file"), F.col("pos").alias("pos"))).alias("first"))
 
 
-def seeds(targets: DataFrame, target: str, sources: DataFrame, source: str, stride: int = WINDOW, window: int = WINDOW, earlier: bool = False) -> DataFrame:
-    """Pairs of target and source places with equal window hashes: target, source, diagonals (source - target) with a place each."""
+def seeds(targets: DataFrame, target: str, sources: DataFrame, source: str, stride: int = WINDOW, window: int = WINDOW, earlier: bool = False, most: int | None = None) -> DataFrame:
+    """Pairs of target and source places with equal window hashes: target, source, diagonals (source - target) with their places.
+
+    A window that all sources share pairs each target with each of them; `most` keeps its first
+    places only, as the exact mode's cap of 64 does.  Without it, every place counts.
+    """
     dense = windows(targets, target, 1, window).select(F.col(target).alias("target"), F.col("pos").alias("t_pos"), "hash")
     index = windows(sources, source, stride, window).select(F.col(source).alias("source"), F.col("pos").alias("s_pos"), "hash")
+    if most:
+        rank = F.row_number().over(Window.partitionBy("hash").orderBy("source", "s_pos"))
+        index = index.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
     both = dense.join(index, "hash")
     both = both.filter("source < target") if earlier else both
     return both.withColumn("diagonal", F.col("s_pos") - F.col("t_pos")).groupBy("target", "source", "diagonal").agg(F.array_sort(F.collect_set("t_pos")).alias("places"))
