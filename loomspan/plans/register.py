@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, catalog, events, maps, matching, scalars  # noqa: F401  (their queries register themselves)
+from . import base, catalog, events, extras, maps, matching, scalars  # noqa: F401  (their queries register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -185,3 +185,38 @@ def test_bounded_batches(spark):
 def test_session_edges(spark, gap, want):
     e = spark.sql("SELECT 1 AS k, timestamp_seconds(t) AS ts FROM VALUES (0.0), (5.0), (10.001) AS v(t)")
     assert events.sessions(e, "k", "ts", gap).count() == want
+
+
+def test_gap_fill_goldens():
+    from loomspan.operators.gapfill import fill
+
+    source = bytes(range(100, 132))
+    assert fill(source[:16] + b"\1\2" + source[16:], source, [(0, 34)]) == [(0, 16, 0), (18, 34, 16)]
+    assert fill(source[:15], source[:15], [(0, 15)]) == []
+    data = bytes(range(24)) + b"\xff" * 8 + bytes(range(24, 48))
+    assert fill(data, bytes(range(48)), [(0, 24), (32, 56)]) == [(0, 24, 0), (32, 56, 24)]
+
+
+def test_range_map_codec():
+    import numpy as np
+    from loomspan.sources import rangemap
+
+    o = np.array([1000 + 192 * i for i in range(5)])
+    raw = rangemap.encode(o, np.full(5, 184), 8, 184)
+    assert raw == rangemap.put(1000) + rangemap.put(184) + b"\0" + rangemap.put(4)
+    given = [(100, 184), (292, 184), (484, 184), (676, 184), (900, 200), (1108, 184), (1300, 184), (1500, 150), (1658, 184), (1850, 184)]
+    o, s = (np.array(x) for x in zip(*given, strict=True))
+    assert list(rangemap.decode(rangemap.encode(o, s, 8, 184), 8, 184)) == given
+    assert list(rangemap.decode(rangemap.encode(o[:0], s[:0], 8, 184), 8, 184)) == []
+
+
+def test_checksums(spark):
+    import xxhash
+    from loomspan.functions import checksums
+
+    rows = [(f"f{i % 3}", i, bytearray(b"chunk %d" % i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "f string, i int, b binary").repartition(4)
+    got = {r.f: r.checksum for r in checksums.file_checksums(df, "f", "i", "b").collect()}
+    assert got == {f"f{k}": f"{xxhash.xxh64_intdigest(b''.join(bytes(b) for f, _, b in rows if f == f'f{k}')):016x}" for k in range(3)}
+    signed = spark.createDataFrame([("abc",)], "s string").select(checksums.xxh64("s").alias("x")).first().x
+    assert signed == 4952883123889572249
