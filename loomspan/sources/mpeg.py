@@ -133,3 +133,38 @@ def ranges(blobs: DataFrame, kind: str, pids: tuple[int, ...] = ()) -> DataFrame
 
     prepare(blobs.sparkSession)
     return blobs.select("file", "bytes").mapInArrow(each, RANGES)
+
+
+def without_user_data(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Video ranges (offset, size) without user data: from 00 00 01 B2 to the next start code of the range."""
+    out = []
+    for begin, size in ranges:
+        end, kept = begin + size, begin
+        if end > len(data):
+            continue
+        while (at := data.find(b"\0\0\1\xb2", kept, end)) >= 0:
+            if at > kept:
+                out.append((kept, at - kept))
+            after = data.find(b"\0\0\1", at + 4, end - 1)
+            kept = after if after >= 0 else end
+        if kept < end:
+            out.append((kept, end - kept))
+    return out
+
+
+def sub_streams(data: bytes, ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(stream id, offset, size) of audio payloads -> by sub-stream, their headers cut off; other kinds are dropped.
+
+    Private payloads name their sub-stream in the first byte: AC-3 and DTS have four bytes of
+    header, LPCM seven.
+    """
+    out = []
+    for stream, begin, size in ranges:
+        if 0xC0 <= stream <= 0xDF and size > 0:
+            out.append((stream, begin, size))
+        elif stream == PRIVATE and size >= 4 and begin < len(data):
+            sub = data[begin]
+            head = 4 if 0x80 <= sub <= 0x8F else 7 if 0xA0 <= sub <= 0xA7 else size
+            if size > head:
+                out.append((sub, begin + head, size - head))
+    return out

@@ -140,3 +140,28 @@ def test_iso(tmp_path):
     assert isofs.kind_of_folder(str(tmp_path)) == "bluray" and isofs.kind_of_image(b"\0" * 40000) == "dvd"
     with pytest.raises(ValueError):
         isofs.kind_of_folder(str(tmp_path / "none"))
+
+
+def test_filters_of_program_streams():
+    data = b"AB\0\0\1\xb2user\0\0\1\xb3CD" + b"\0\0\1\xb2to the end"
+    assert [data[a : a + n] for a, n in mpeg.without_user_data(data, [(0, len(data))])] == [b"AB", b"\0\0\1\xb3CD"]
+    assert mpeg.without_user_data(b"plain", [(0, 5), (3, 9)]) == [(0, 5)]
+    audio = b"\x80\1\0\4ac3!" + b"\xa0\1\0\1\0\0\0pcm" + b"\x20sub" + b"mp2"
+    assert mpeg.sub_streams(audio, [(0xBD, 0, 8), (0xBD, 8, 10), (0xBD, 18, 4), (0xC0, 22, 3)]) == [(0x80, 4, 4), (0xA0, 15, 3), (0xC0, 22, 3)]
+
+
+def test_disc_metadata():
+    from loomspan.sources import discinfo
+
+    ifo = bytearray(0x300)
+    ifo[:12] = b"DVDVIDEO-VTS"
+    ifo[0x200], ifo[0x203] = 0x40, 3
+    ifo[0x204:0x206], ifo[0x20C:0x20E], ifo[0x214:0x216] = b"\0\1", b"\xc0\1", b"\0\2"
+    assert discinfo.title_set(bytes(ifo)) == ["MPEG-2", "AC3", "DTS"]
+    stream = lambda pid, kind: pid.to_bytes(2, "big") + b"\2" + bytes([kind, 0])
+    body = b"\0\1" + b"\0" * 6 + b"\3\0" + stream(0x1011, 0x1B) + stream(0x1100, 0x83) + stream(0x1101, 0x83)
+    clpi = b"HDMV0200" + b"\0" * 4 + (16).to_bytes(4, "big") + len(body).to_bytes(4, "big") + body
+    assert discinfo.clip(clpi) == ["H.264", "TrueHD"]
+    for bad in (b"", b"HDMV" + b"\0" * 20):
+        with pytest.raises(ValueError):
+            discinfo.clip(bad)
