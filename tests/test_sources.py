@@ -165,3 +165,62 @@ def test_disc_metadata():
     for bad in (b"", b"HDMV" + b"\0" * 20):
         with pytest.raises(ValueError):
             discinfo.clip(bad)
+
+
+def udf_image(metadata):
+    """A folder BDMV with a file of two extents; folders lie in a metadata partition if asked for."""
+    import struct
+
+    disc = bytearray(400 * 2048)
+    def put(sector, raw):
+        disc[sector * 2048 : sector * 2048 + len(raw)] = raw
+    tag = lambda n: struct.pack("<H", n).ljust(16, b"\0")
+    long = lambda n, block, part: struct.pack("<IIH6x", n, block, part)
+    def entry(folder, ads, size, kind=1):
+        head = bytearray(176)
+        head[:2], head[27], head[34] = (261).to_bytes(2, "little"), 4 if folder else 5, kind
+        head[56:64], head[172:176] = size.to_bytes(8, "little"), len(ads).to_bytes(4, "little")
+        return bytes(head) + ads
+    def name(text, folder, block, part):
+        raw = b"\x08" + text.encode()
+        own = bytearray(38) + raw
+        own[:2], own[18], own[19] = (257).to_bytes(2, "little"), 2 if folder else 0, len(raw)
+        own[20:36] = long(2048, block, part)
+        return bytes(own).ljust((len(own) + 3) & ~3, b"\0")
+    put(256, tag(2) + struct.pack("<II", 3 * 2048, 32))
+    part = bytearray(512)
+    part[:2], part[188:192] = (5).to_bytes(2, "little"), (260).to_bytes(4, "little")
+    put(32, part)
+    maps = struct.pack("<BBHH", 1, 6, 1, 0)
+    where = 1 if metadata else 0
+    if metadata:
+        second = bytearray(64)
+        second[0], second[1], second[5:28] = 2, 64, b"*UDF Metadata Partition"
+        second[40:44] = (50).to_bytes(4, "little")
+        maps += bytes(second)
+        put(260 + 50, entry(False, struct.pack("<II", 4 * 2048, 60) + struct.pack("<II", 8 * 2048, 80), 12 * 2048, 0))
+    logical = bytearray(440) + maps
+    logical[:2], logical[248:264], logical[268:272] = (6).to_bytes(2, "little"), long(2048, 0, where), (2 if metadata else 1).to_bytes(4, "little")
+    put(33, logical)
+    put(34, tag(8))
+    base = (lambda b: 260 + (60 + b if b < 4 else 80 + b - 4)) if metadata else (lambda b: 260 + b)
+    put(base(0), tag(256).ljust(400, b"\0") + long(2048, 1, where))
+    listing = name("BDMV", True, 2, where)
+    put(base(1), entry(True, listing, len(listing), 3))
+    listing = name("A.M2TS", False, 5, where)
+    put(base(2), entry(True, long(len(listing), 4, where), len(listing)))
+    put(base(4), listing)
+    put(base(5), entry(False, long(2048, 100, 0) + long(10, 110, 0), 2058))
+    put(360, b"x" * 2048)
+    put(370, b"0123456789")
+    return bytes(disc)
+
+
+@pytest.mark.parametrize("metadata", [False, True])
+def test_udf(metadata):
+    from loomspan.sources import udffs
+
+    data = udf_image(metadata)
+    got = list(udffs.Volume(data).files("BDMV"))
+    assert got == [("BDMV/A.M2TS", 0, 360 * 2048, 2048), ("BDMV/A.M2TS", 1, 370 * 2048, 10)]
+    assert udffs.text(b"\x10\0a\x01\x00") == "aĀ" and not udffs.is_udf(b"")
