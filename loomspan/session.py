@@ -9,12 +9,19 @@ from pyspark.sql import SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Workers find the package where they share this machine's folders, and use one core.
+    """Workers find the package where they share this machine's folders, use one core, and get smaller batches.
 
-    Batches are bounded by Spark itself, in rows and bytes (spark.sql.execution.arrow.max*PerBatch).
+    Spark bounds a batch to 10,000 rows and 64 MB; texts need fewer rows at a time, so unless
+    that number has been set, it becomes BATCH_ROWS.
     """
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("OMP_NUM_THREADS", "1")
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
