@@ -1,6 +1,6 @@
 """Token ids of whole texts by a public tokenizer, with a cache of the pieces between cuts.
 
-A text is cut where the tokenizer itself always cuts: where white space begins.  Ids of a
+A text is cut only where the tokenizer itself always cuts: where white space begins.  Ids of a
 text are then the ids of its pieces in order, so a piece that returns (most words do) is
 encoded once.  A piece of letters with ASCII punctuation after it needs only the library's
 BPE model, as the other steps leave it alone; all other pieces take the whole pipeline.
@@ -12,9 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
+from .common import held
+
 #: Unicode White_Space, as \s in the tokenizers' own patterns (fixed values).
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -23,8 +26,12 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: One space or line end, letters that NFC leaves alone, punctuation without apostrophes.
 _PLAIN = re.compile("([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
-#: Pieces kept at most, and characters of a piece that is kept at most.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: White space before a space.
+_TWICE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+
+#: Words and pieces of either kind kept at most, and characters of a piece that is kept at most.
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 800_000, 250_000, 48
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,6 +41,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Kept(dict):
+    """Ids by piece.  One that isn't there is encoded, and kept if that says so and it is short; when full, all go."""
+
+    def __init__(self, encode: Callable[[str], tuple[bytes, bool]], most: int) -> None:
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids, keep = self.encode(piece)
+        if keep and len(piece) <= CACHE_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """ids() and spans() of texts.  `spaced`: pieces keep the white space before them, and case counts."""
 
@@ -43,65 +66,57 @@ class Encoder:
 
         self.path, self.spaced = path, spaced
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self._tokens = self.tokenizer.model.tokenize
+        self._raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self._letters = _byte_letters()
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._pieces = _Kept(self._encode, CACHE_PIECES)
+        self._after = _Kept(lambda piece: self._encode(" " + piece), CACHE_PIECES)
+        self._words = _Kept(self._word, CACHE_WORDS)
         self._lengths: np.ndarray | None = None
 
-    def cut(self, text: str) -> list[str]:
-        if self.spaced:
-            return _PIECE.findall(text)
-        return text.split(" ") if _ODD.search(text) else text.split()
-
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self._words.get(word)
-        if ids is None:
-            if len(self._words) > CACHE_PIECES:
-                self._words.clear()
-            written = word.encode().decode("latin-1").translate(self._letters)
-            ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-            if len(word) <= CACHE_CHARS:
-                self._words[word] = ids
-        return ids
-
-    def _encode(self, piece: str) -> bytes:
+    def _word(self, word: str) -> tuple[bytes, bool]:
+        """Letters, with a space before them or none: the model alone."""
+        if word.isascii():
+            word = "\u0120" + word[1:] if word[0] == " " else word  # as _byte_letters() writes a space
+        else:
+            word = word.encode().decode("latin-1").translate(self._letters)
+        raw = self._raw
+        return b"".join([raw[t.id] for t in self._tokens(word)]), True
+
+    def _encode(self, piece: str) -> tuple[bytes, bool]:
+        """A piece is kept unless its word is new: most words that come once never return."""
         m = _PLAIN(piece)
         if not m:
-            return self._whole(piece)
+            cut = _PIECE.findall(piece) if self.spaced else [piece]
+            if len(cut) > 1:
+                return b"".join(map(self._pieces.__getitem__, cut)), False
+            return self._whole(piece), True
         space, word, rest = m.groups()
-        after = self._known(rest) if rest else b""
         if not self.spaced:
-            return self._word(word.lower()) + after
-        if space == " ":
-            return self._word(" " + word) + after
-        return (self._known(space) if space else b"") + self._word(word) + after
-
-    def _known(self, piece: str) -> bytes:
-        """Ids of a piece that is kept: line ends and runs of punctuation."""
-        ids = self._pieces.get(piece)
-        if ids is None:
-            ids = self._pieces[piece] = self._whole(piece)
-        return ids
+            word = word.lower()
+        elif space == " ":
+            word = space + word
+        known = word in self._words
+        ids = self._words[word]
+        if space == "\n" and self.spaced:
+            ids = self._pieces[space] + ids
+        return ids + self._pieces[rest] if rest else ids, known
+
+    def _text(self, text: str) -> bytes:
+        if not self.spaced:
+            return b"".join(map(self._pieces.__getitem__, text.split(" ") if _ODD.search(text) else text.split()))
+        if any(x in text for x in _TWICE) or not text.isascii() and _WIDE.search(text):
+            return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text)))
+        # No white space stands before a space, so the text is cut before each.
+        first, *rest = text.split(" ")
+        return (self._pieces[first] if first else b"") + b"".join(map(self._after.__getitem__, rest))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        known = self._pieces
-        new = set().union(*cut) - known.keys()
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = set().union(*cut)
-        long = {}
-        for piece in new:
-            (known if len(piece) <= CACHE_CHARS else long)[piece] = self._encode(piece)
-        if long:
-            return [b"".join([known[p] if p in known else long[p] for p in c]) for c in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [self._text(t) for t in texts]
 
     def spans(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Character starts and ends of a byte-level tokenizer's tokens; a token of part of a character has all of it."""
@@ -124,11 +139,6 @@ class Encoder:
         return char[starts], char[ends - 1] + 1
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder a worker process."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+    return held(("tokens", path, spaced), lambda: Encoder(path, spaced))
