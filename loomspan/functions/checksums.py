@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..session import prepare
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def xxh64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Of a binary or string column, as a signed long."""
     from xxhash import xxh64_intdigest

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Audio sync words, in the order in which they are tried at a place.
 AUDIO_WORDS = (b"\x0b\x77", b"\x7f\xfe\x80\x01", b"\xf8\x72\x6f\xba")
@@ -76,7 +77,7 @@ def every(step: int) -> Callable[[bytes], list[int]]:
 def as_udf(find: Callable[[bytes], list[int]]):
     """find as a function of a binary column."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(ArrayType(IntegerType()))
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([None if x is None else find(x) for x in batch.to_pylist()], pa.list_(pa.int32()))
