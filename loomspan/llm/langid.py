@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, portions
+from .common import arrow_pass, held, portions
 
 SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT = 1200, 3000, 28
-HIDDEN, EMBED, STEPS, BATCH, RATE = 24, 16, 500, 256, 0.01
+HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 16, 500, 256, 0.01
 CACHE_WORDS = 250_000
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -172,10 +172,10 @@ def train(docs: DataFrame) -> Network | None:
     learned = learned.join(bounds, "lang").filter("h <= bound")
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
     sample = learned.select("lang", "h", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).collect()
-    held: dict[str, list] = {}
+    by: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
-        held.setdefault(r["lang"], []).append(r)
-    sample = [r for own in held.values() for r in own[:most]]
+        by.setdefault(r["lang"], []).append(r)
+    sample = [r for own in by.values() for r in own[:most]]
     labels = sorted({r["lang"] for r in sample})
     words, owner = [], []
     for r in sample:
@@ -219,15 +219,9 @@ class Predictor:
         return label, score
 
 
-_predictors: dict[int, Predictor] = {}
-
-
 def _predictor(net: Network) -> Predictor:
     key = zlib.crc32(b"".join(net.w[k].tobytes() for k in sorted(net.w)))
-    if key not in _predictors:
-        _predictors.clear()
-        _predictors[key] = Predictor(net)
-    return _predictors[key]
+    return held(("language", key), lambda: Predictor(net))
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
