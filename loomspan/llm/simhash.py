@@ -197,14 +197,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 4, most:
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = save(spark, classes.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
     return prints.join(classes, "fp").select(*[c for c in prints.columns if c not in ("fp", "root", "component_id")], "fp", "root", "component_id")
-
-
-def distinct_documents(spark: SparkSession, docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
-    """One row of docs of each component: the smallest id (none: last), then the smallest hash of the text."""
-    key = F.xxhash64("text").alias("h")
-    found = near_duplicates(spark, docs.select("doc_id", key, "text"), width, most)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("k_id"), F.col("k.h").alias("k_h"))
-    held = docs.withColumn("k_own", F.xxhash64("text"))
-    held = held.join(first, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_h")), "left_semi")
-    return held.dropDuplicates(["doc_id", "k_own"]).select(*docs.columns)
