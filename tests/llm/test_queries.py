@@ -188,6 +188,36 @@ def test_op4_added_spans_and_redaction():
     assert pii.redact("a x@y.z b +1 (743) 555-3824", pii.base_spans("a x@y.z b +1 (743) 555-3824")) == "a <EMAIL> b <PHONE>"
 
 
+@pytest.mark.parametrize("size", [28, 34, 45, 59, 100, 300])
+def test_op4_spans_at_every_offset(size):
+    """A tagger that labels whatever is no q, space or padding: a long spelling is whole wherever windows begin."""
+    class Labels:
+        def decode(self, x):
+            own = ~np.isin(x, [*pii.encode("q "), pii.PADDING])
+            tags = np.where(own, 2, 0)
+            tags[:, 1:][own[:, 1:] & ~own[:, :-1]] = 1
+            return tags, np.ones(x.shape)
+    item = "first.last@" + "a" * (size - 17) + "[.]com"
+    for at in range(pii.STRIDE):
+        text = "q " * 100 + "q" * at + " " + item + " q" * 300
+        start = text.index(item)
+        spans = pii.add_spans(Labels(), [text, "q 1"], [[], []])
+        assert spans[0] == [(start, start + size, 0)], at
+        assert "<EMAIL>" in pii.redact(text, spans[0])
+
+
+def test_op4_cut_spans_are_run_in_wider_windows_only_once():
+    """A run of labels as long as the text takes work in proportion to it, not to its square."""
+    class Labels:
+        seen = 0
+        def decode(self, x):
+            self.seen += x.size
+            return np.full(x.shape, 2), np.ones(x.shape)
+    tagger, text = Labels(), "1" * 20_000
+    pii.add_spans(tagger, [text], [[]])
+    assert tagger.seen < 12 * len(text)
+
+
 def test_op5(spark, folder, docs):
     tok = Encoder(queries.vocabulary("byte_bpe_50k.json"), True).tokenizer
     want = Counter()
