@@ -57,3 +57,26 @@ def test_results_do_not_depend_on_partitions(spark):
         seen.add(str(sorted(map(str, rows))))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(seen) == 1
+
+
+def test_gap_fill_takes_short_texts(spark, tmp_path):
+    """Texts of every size against a version that goes byte by byte."""
+    texts = [None, "", *["abcdefghijklmnopqrstuvw xyz0123456789-é\n"[i % 7 :] * 4 for i in range(7)]]
+    texts += ["The quick brown fox jumps over a lazy dog, twice or more; and so on and on it goes for long."[:n] for n in (1, 15, 16, 39, 40, 41, 55, 56, 79, 80, 92)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, text in enumerate(texts):
+        wide = "".join(c + "~~" * (i % 40 == 39) for i, c in enumerate(text or "")).encode()
+        source, at, start = (text or "").encode(), 0, 0
+        for i in range(len(wide) + 1):
+            if i == len(wide) or at == len(source) or wide[i] != source[at]:
+                if i - start >= 16:
+                    want.append((d, start, i, at - (i - start)))
+                start = i + 1
+                if at == len(source):
+                    break
+            else:
+                at += 1
+    got = [tuple(r) for r in register.queries()["gap_fill"](spark, str(tmp_path)).select("doc_id", "s", "e", "src").collect()]
+    assert sorted(got) == sorted(want)
+    assert any(len(texts[d].encode()) < 80 for d, *_ in want)
