@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer, with a cache of the pieces between cuts.
+"""Token ids of whole texts by a public tokenizer, with a bounded cache of the pieces between cuts.
 
 A text is cut only where the tokenizer itself always cuts: where white space begins.  Ids of a
 text are then the ids of its pieces in order, so a piece that returns (most words do) is
@@ -23,15 +23,17 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Characters at which str.split cuts though they aren't White_Space.
 _ODD = re.compile("[\x1c-\x1f]")
-#: One space or line end, letters that NFC leaves alone, punctuation without apostrophes.
-_PLAIN = re.compile("([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+#: Letters that NFC leaves alone.
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+#: ASCII punctuation without the apostrophe.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: White space before a space.
 _TWICE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
-_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+_WIDE = re.compile("[\x85\xa0  -     　] ")
 
-#: Words and pieces of either kind kept at most, and characters of a piece that is kept at most.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 800_000, 250_000, 48
+#: Pieces that a generation of a cache holds at most, likewise where words have a cache of their own, and characters of a piece that is kept at most.
+CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 300_000, 30_000, 48
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,20 +44,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Ids by piece.  One that isn't there is encoded, and kept if that says so and it is short; when full, all go."""
+    """Ids by piece.  One that isn't there is encoded, and kept if that says so.
+
+    Two generations: when one is full it grows old, and what isn't asked for again goes with it.
+    """
 
     def __init__(self, encode: Callable[[str], tuple[bytes, bool]], most: int) -> None:
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids, keep = self.encode(piece)
-        if keep and len(piece) <= CACHE_CHARS:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids, keep = self.encode(piece)
+            if not keep or len(piece) > CACHE_CHARS:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
+    def knows(self, piece: str) -> bool:
+        return piece in self or piece in self.old
+
 
 class Encoder:
     """ids() and spans() of texts.  `spaced`: pieces keep the white space before them, and case counts."""
@@ -67,52 +79,67 @@ class Encoder:
         self.path, self.spaced = path, spaced
         self.tokenizer = Tokenizer.from_file(path)
         self._tokens = self.tokenizer.model.tokenize
-        self._raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self._by_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self._letters = _byte_letters()
-        self._pieces = _Kept(self._encode, CACHE_PIECES)
-        self._after = _Kept(lambda piece: self._encode(" " + piece), CACHE_PIECES)
-        self._words = _Kept(self._word, CACHE_WORDS)
+        # Pieces as they stand, and, of a tokenizer that keeps spaces, those after one space, without it.
+        self._raw = _Kept(self._encode, CACHE_MARKS if spaced else CACHE_PIECES)
+        self._after = _Kept(self._encode_after, CACHE_PIECES)
         self._lengths: np.ndarray | None = None
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> tuple[bytes, bool]:
+    def _word(self, word: str, space: str = "") -> bytes:
         """Letters, with a space before them or none: the model alone."""
-        if word.isascii():
-            word = "\u0120" + word[1:] if word[0] == " " else word  # as _byte_letters() writes a space
-        else:
+        if not word.isascii():
             word = word.encode().decode("latin-1").translate(self._letters)
-        raw = self._raw
-        return b"".join([raw[t.id] for t in self._tokens(word)]), True
+        by_id = self._by_id
+        return b"".join([by_id[t.id] for t in self._tokens(space + word)])
+
+    def _encode_after(self, piece: str) -> tuple[bytes, bool]:
+        """Ids of a space and a piece.  It is kept unless its word is new: most words that come once never return."""
+        word = piece.rstrip(_MARKS)
+        if word.isalpha() and (word.isascii() or _LETTERS(word)):
+            if len(word) == len(piece):
+                return self._word(word, "\u0120"), True  # as _byte_letters() writes a space
+            known = self._after.knows(word)
+            return self._after[word] + self._raw[piece[len(word) :]], known
+        cut = _PIECE.findall(" " + piece)
+        if len(cut) > 1:
+            return self._join(cut), False
+        return self._whole(cut[0]), True
 
     def _encode(self, piece: str) -> tuple[bytes, bool]:
-        """A piece is kept unless its word is new: most words that come once never return."""
-        m = _PLAIN(piece)
-        if not m:
-            cut = _PIECE.findall(piece) if self.spaced else [piece]
-            if len(cut) > 1:
-                return b"".join(map(self._pieces.__getitem__, cut)), False
-            return self._whole(piece), True
-        space, word, rest = m.groups()
-        if not self.spaced:
-            word = word.lower()
-        elif space == " ":
-            word = space + word
-        known = word in self._words
-        ids = self._words[word]
-        if space == "\n" and self.spaced:
-            ids = self._pieces[space] + ids
-        return ids + self._pieces[rest] if rest else ids, known
+        """Likewise of a piece as it stands."""
+        head = piece[: self.spaced and piece[:1] == "\n"]
+        word = piece[len(head) :].rstrip(_MARKS)
+        if word.isalpha() and (word.isascii() or _LETTERS(word)):
+            low = word if self.spaced else word.lower()
+            if low == piece:
+                return self._word(low), True
+            known = self._raw.knows(low)
+            ids, rest = self._raw[low], piece[len(head) + len(word) :]
+            if head:
+                ids = self._raw[head] + ids
+            return ids + self._raw[rest] if rest else ids, known
+        cut = _PIECE.findall(piece) if self.spaced else [piece]
+        if len(cut) > 1:
+            return self._join(cut), False
+        return self._whole(piece), True
+
+    def _join(self, cut: list[str]) -> bytes:
+        """Pieces as they stand; of those that begin with one space, the others' cache has more."""
+        raw, after = self._raw, self._after
+        return b"".join([after[c[1:]] if c[0] == " " and len(c) > 1 and not c[1].isspace() else raw[c] for c in cut])
 
     def _text(self, text: str) -> bytes:
         if not self.spaced:
-            return b"".join(map(self._pieces.__getitem__, text.split(" ") if _ODD.search(text) else text.split()))
+            return b"".join(map(self._raw.__getitem__, text.split(" ") if _ODD.search(text) else text.split()))
         if any(x in text for x in _TWICE) or not text.isascii() and _WIDE.search(text):
-            return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text)))
+            return self._join(_PIECE.findall(text))
         # No white space stands before a space, so the text is cut before each.
         first, *rest = text.split(" ")
-        return (self._pieces[first] if first else b"") + b"".join(map(self._after.__getitem__, rest))
+        return (self._raw[first] if first else b"") + b"".join(map(self._after.__getitem__, rest))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
