@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import prepare
 
@@ -58,7 +59,12 @@ def save(spark: SparkSession, df: DataFrame, label: str, **options: str) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def schema_with(df: DataFrame, more: str) -> T.StructType:
+    """The schema of df and the columns of `more` after it; names may hold anything."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

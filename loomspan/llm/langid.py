@@ -1,37 +1,38 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads byte segments: the words between ASCII white space, each with a space
-before and after it, longer ones in runs of SEGMENT bytes.  It labels every position of a
-segment; a document's probabilities are the mean over all its positions.  As a segment is
-read on its own, one that returns is computed once and counted as often as it comes: the
-result is that of running the network over the whole text.
+The network reads the UTF-8 bytes of whole texts and labels every position; a document's
+probabilities are the mean over all its positions.  A long text is read in windows: STRIDE
+positions that count, and CONTEXT more on either side from which both ways of the network
+warm up and which count for the neighbours.  A text of at most STRIDE bytes is one window.
+Windows of about one length run together, so no text, and no word, is too long or cut
+without its surroundings, whether it has spaces or not.
 
 Training, in numpy by backpropagation through time, is on a bounded sample: at most
 SAMPLE_DOCS documents, as many of each language, chosen by a hash of their id, and of each a
-stretch of SAMPLE_CHARS characters.  Every sampled word's positions are labelled with its
-document's language.  Labels, sources and ids are never an input of a prediction.
+stretch of SAMPLE_CHARS characters.  Every position is labelled with its document's
+language.  Labels, sources and ids are never an input of a prediction.
 
 Null text, or text without a letter: `und`, score 0.  Documents without a label or an id,
 and those held out (crc32 of the id modulo 5 is 0), aren't learned from; without any
-labelled document all are `und`.  Repeated rows get equal predictions.  An empty table gives
-no rows.
+labelled document all are `und`.  Of rows with equal id and label one is learned from.
+Repeated rows get equal predictions.  An empty table gives no rows.  Other columns stay,
+whatever their names, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, held, portions
+from .common import arrow_pass, portions, schema_with
 
-SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT = 1200, 3000, 28
-HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 16, 500, 256, 0.01
-CACHE_WORDS = 250_000
+SAMPLE_DOCS, SAMPLE_CHARS = 1200, 3000
+HIDDEN, EMBED, STEPS, BATCH, LENGTH, RATE = 24, 16, 300, 96, 48, 0.01
+STRIDE, CONTEXT, TOGETHER = 464, 24, 512
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -41,120 +42,140 @@ def has_letter(text: str) -> bool:
     return bool(m) and (m[0].isalpha() or any(c.isalpha() for c in text))
 
 
-def cut(text: str) -> list[bytes]:
-    """The byte words of a text; long ones in runs."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if max(map(len, words), default=0) > SEGMENT:
-        words = [w[i : i + SEGMENT] for w in words for i in range(0, len(w), SEGMENT)]
-    return words
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Network:
-    """A GRU each way, and a softmax at every position."""
+    """A GRU each way, and a softmax at every position.  Arrays are (time, unit, batch)."""
 
     def __init__(self, labels: list[str], seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         h, c = HIDDEN, len(labels)
         self.labels = labels
-        self.w = {"embed": rng.normal(0, 0.3, (256, EMBED)), "out": rng.normal(0, 0.2, (2 * h, c)), "bias": np.zeros(c)}
+        self.w = {"embed": rng.normal(0, 0.3, (256, EMBED)), "out": rng.normal(0, 0.2, (c, 2 * h)), "bias": np.zeros((c, 1))}
         for way in "fb":
-            self.w[f"in_{way}"] = rng.normal(0, EMBED**-0.5, (EMBED, 3 * h))
-            self.w[f"gate_{way}"] = np.zeros(3 * h)
-            self.w[f"own_{way}"] = rng.normal(0, h**-0.5, (h, 3 * h))
+            self.w[f"in_{way}"] = rng.normal(0, EMBED**-0.5, (3 * h, EMBED))
+            self.w[f"gate_{way}"] = np.zeros((3 * h, 1))
+            self.w[f"own_{way}"] = rng.normal(0, h**-0.5, (3 * h, h))
         self.w = {k: x.astype(np.float32) for k, x in self.w.items()}
 
-    def _run(self, x: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        """x (time, batch) bytes -> states (time, batch, HIDDEN); the backward way reads from the end."""
-        h = HIDDEN
-        fed = self.w["embed"] @ self.w[f"in_{way}"] + self.w[f"gate_{way}"]  # a row for each byte
-        own, state = self.w[f"own_{way}"], np.zeros((x.shape[1], h), np.float32)
-        out = np.empty((*x.shape, h), np.float32)
+    def _run(self, x: np.ndarray, way: str, ends: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+        """x (time, batch) bytes -> states (time, HIDDEN, batch); the backward way reads from the end, each column from its own."""
+        h, own = HIDDEN, self.w[f"own_{way}"].copy()
+        fed = self.w[f"in_{way}"] @ self.w["embed"].T + self.w[f"gate_{way}"]  # a column for each byte
+        for part in (own, fed):  # a sigmoid is a tanh of half its argument
+            part[: 2 * h] *= 0.5
+        fed = np.ascontiguousarray(fed.T)
+        state = np.zeros((h, x.shape[1]), own.dtype)
+        out = np.empty((len(x), *state.shape), own.dtype)
+        a, u = np.empty((3 * h, x.shape[1]), own.dtype), np.empty((3 * h, x.shape[1]), own.dtype)
+        first = len(x) if ends is None or way == "f" else int(ends.min())
         for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
-            a, u = fed[x[t]], state @ own
-            gates = _sigmoid(a[:, : 2 * h] + u[:, : 2 * h])
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(a[:, 2 * h :] + r * u[:, 2 * h :])
+            np.copyto(a, fed[x[t]].T)
+            np.matmul(own, state, out=u)
+            gates = a[: 2 * h]
+            gates += u[: 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new = gates[h:] * u[2 * h :]
+            new += a[2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((t, state, z, r, new, u[:, 2 * h :]))
-            state = out[t] = z * state + (1 - z) * new
+                keep.append((t, state, gates[:h].copy(), gates[h:].copy(), new, u[2 * h :].copy()))
+            after = out[t]
+            np.subtract(state, new, out=after)
+            after *= gates[:h]
+            after += new
+            if t >= first:
+                after *= t < ends
+            state = after
         return out
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (time, batch, label)."""
-        both = np.concatenate([self._run(x, "f"), self._run(x, "b")], axis=2)
-        y = both @ self.w["out"] + self.w["bias"]
-        y = np.exp(y - y.max(axis=2, keepdims=True))
-        return y / y.sum(axis=2, keepdims=True)
+    def positions(self, x: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities (time, label, batch); ends: how much of each column of x is text."""
+        h = HIDDEN
+        y = np.matmul(self.w["out"][:, :h], self._run(x, "f", ends))
+        y += np.matmul(self.w["out"][:, h:], self._run(x, "b", ends))
+        y += self.w["bias"]
+        y -= y.max(axis=1, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(axis=1, keepdims=True)
+        return y
 
     def learn(self, x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over all positions of x (time, batch)."""
+        h, (n, b) = HIDDEN, x.shape
         kept = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, w, kept[w]) for w in "fb"], axis=2)
-        y = both @ self.w["out"] + self.w["bias"]
-        y = np.exp(y - y.max(axis=2, keepdims=True))
-        dy = y / y.sum(axis=2, keepdims=True)
-        dy[:, np.arange(x.shape[1]), label] -= 1
+        both = np.concatenate([self._run(x, w, keep=kept[w]) for w in "fb"], axis=1)
+        y = np.matmul(self.w["out"], both) + self.w["bias"]
+        y = np.exp(y - y.max(axis=1, keepdims=True))
+        dy = y / y.sum(axis=1, keepdims=True)
+        dy[:, label, np.arange(b)] -= 1
         dy /= x.size
-        h = HIDDEN
-        g = {"out": np.einsum("tbi,tbj->ij", both, dy, optimize=True), "bias": dy.sum((0, 1)), "embed": np.zeros_like(self.w["embed"])}
-        dboth = dy @ self.w["out"].T
+        g = {"out": np.matmul(dy, both.transpose(0, 2, 1)).sum(0), "bias": dy.sum((0, 2))[:, None], "embed": np.zeros_like(self.w["embed"])}
+        dboth = np.matmul(self.w["out"].T, dy)
+        order = np.argsort(x.ravel(), kind="stable")
+        met, starts = np.unique(x.ravel()[order], return_index=True)
         for k, way in enumerate("fb"):
-            own, dstate = self.w[f"own_{way}"], np.zeros((x.shape[1], h), np.float32)
-            dfed, down = np.zeros((256, 3 * h), np.float32), np.zeros_like(own)
+            own, dstate = self.w[f"own_{way}"], np.zeros((h, b), both.dtype)
+            din, down = np.empty((3 * h, n, b), both.dtype), np.zeros_like(own)
             for t, before, z, r, new, u in reversed(kept[way]):
-                d = dboth[t, :, k * h : (k + 1) * h] + dstate
+                d = dboth[t, k * h : (k + 1) * h] + dstate
                 dnew = d * (1 - z) * (1 - new**2)
                 dz, dr = d * (before - new) * z * (1 - z), dnew * u * r * (1 - r)
-                du = np.concatenate([dz, dr, dnew * r], axis=1)
-                np.add.at(dfed, x[t], np.concatenate([dz, dr, dnew], axis=1))
-                down += before.T @ du
-                dstate = d * z + du @ own.T
-            g[f"own_{way}"], g[f"gate_{way}"] = down, dfed.sum(0)
-            g[f"in_{way}"] = self.w["embed"].T @ dfed
-            g["embed"] += dfed @ self.w[f"in_{way}"].T
+                din[:, t] = np.concatenate([dz, dr, dnew])
+                du = np.concatenate([dz, dr, dnew * r])
+                down += du @ before.T
+                dstate = d * z + own.T @ du
+            dfed = np.zeros((3 * h, 256), both.dtype)
+            dfed[:, met] = np.add.reduceat(din.reshape(3 * h, -1)[:, order], starts, axis=1)
+            g[f"own_{way}"], g[f"gate_{way}"] = down, dfed.sum(1, keepdims=True)
+            g[f"in_{way}"] = dfed @ self.w["embed"]
+            g["embed"] += dfed.T @ self.w[f"in_{way}"]
         return g
 
-    def fit(self, words: list[bytes], label: np.ndarray, seed: int = 6) -> None:
-        """Adam over batches of words of about one length."""
+    def fit(self, texts: list[bytes], label: np.ndarray, seed: int = 6) -> None:
+        """Adam over batches of stretches of LENGTH bytes; a shorter text is repeated."""
         rng = np.random.default_rng(seed)
-        by_length = np.array(sorted(range(len(words)), key=lambda i: len(words[i])))
+        texts = [np.frombuffer((t + b" ") * -(-LENGTH // (len(t) + 1)), np.uint8) for t in texts]
         m = {k: np.zeros_like(x) for k, x in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         for step in range(1, STEPS + 1):
-            centre = rng.integers(len(words))
-            near = by_length[max(0, centre - 2 * BATCH) : centre + 2 * BATCH]
-            n = len(words[by_length[centre]])
-            at = [i for i in rng.permutation(near) if len(words[i]) == n][:BATCH]
-            g = self.learn(as_matrix([words[i] for i in at]), label[at])
+            at = rng.integers(len(texts), size=BATCH)
+            starts = [int(rng.integers(len(texts[i]) - LENGTH + 1)) for i in at]
+            x = np.stack([texts[i][a : a + LENGTH] for i, a in zip(at, starts, strict=True)], axis=1)
+            g = self.learn(x, label[at])
             rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
-            for k, x in self.w.items():
+            for k, w in self.w.items():
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                x -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """Summed probabilities of each word's positions, and their number in the last column."""
-        out = np.empty((len(words), len(self.labels) + 1), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        a = 0
-        while a < len(order):
-            n, b = len(words[order[a]]), a
-            while b < len(order) and b - a < 2048 and len(words[order[b]]) == n:
-                b += 1
-            at = order[a:b]
-            out[at, :-1] = self.positions(as_matrix([words[i] for i in at])).sum(axis=0)
-            out[at, -1] = n + 2
-            a = b
-        return out
+                w -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """(text, label): mean probabilities over all positions of each text; zero where a text is empty."""
+        places = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), STRIDE)]
+        spans = [(max(0, a - CONTEXT), min(len(texts[i]), a + STRIDE + CONTEXT)) for i, a in places]
+        sums = np.zeros((len(texts), len(self.labels)))
+        order = sorted(range(len(places)), key=lambda k: spans[k][1] - spans[k][0])
+        for c in range(0, len(order), TOGETHER):
+            own = order[c : c + TOGETHER]
+            ends = np.array([spans[k][1] - spans[k][0] for k in own])
+            x = np.full((len(own), int(ends[-1])), 32, np.uint8)
+            for row, k in enumerate(own):
+                a, b = spans[k]
+                x[row, : b - a] = np.frombuffer(texts[places[k][0]], np.uint8, b - a, a)
+            p = self.positions(np.ascontiguousarray(x.T), ends)
+            inner = p[CONTEXT : CONTEXT + STRIDE].sum(axis=0)
+            for column, k in enumerate(own):
+                i, a = places[k]
+                low, high = a - spans[k][0], min(a + STRIDE, len(texts[i])) - spans[k][0]
+                whole = low == CONTEXT and high == CONTEXT + STRIDE
+                sums[i] += inner[:, column] if whole else p[low:high, :, column].sum(axis=0)
+        return sums / np.maximum(1, [len(t) for t in texts])[:, None]
 
-
-def as_matrix(words: list[bytes]) -> np.ndarray:
-    """Words of one length, with a space on either side, as (time, batch)."""
-    return np.frombuffer(b"".join([b" " + w + b" " for w in words]), np.uint8).reshape(len(words), -1).T
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        read = [t.encode("utf-8", "surrogatepass") if t and has_letter(t) else b"" for t in texts]
+        p = self.pooled(read)
+        label = [self.labels[k] if t else UNKNOWN for k, t in zip(p.argmax(axis=1), read, strict=True)]
+        return label, np.minimum(1.0, p.max(axis=1, initial=0.0))
 
 
 def train(docs: DataFrame) -> Network | None:
@@ -171,21 +192,18 @@ def train(docs: DataFrame) -> Network | None:
     bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
     learned = learned.join(bounds, "lang").filter("h <= bound")
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
-    sample = learned.select("lang", "h", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    learned = learned.select("lang", "h", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    sample = learned.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()  # a row an id, however often it comes
     by: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
         by.setdefault(r["lang"], []).append(r)
     sample = [r for own in by.values() for r in own[:most]]
+    sample = [r for r in sample if r["text"]]
     labels = sorted({r["lang"] for r in sample})
-    words, owner = [], []
-    for r in sample:
-        own = cut(r["text"])
-        words += own
-        owner += [labels.index(r["lang"])] * len(own)
     net = Network(labels)
-    if len(labels) > 1 and words:
-        net.fit(words, np.array(owner))
-    return net
+    if len(labels) > 1:
+        net.fit([r["text"].encode("utf-8", "surrogatepass") for r in sample], np.array([labels.index(r["lang"]) for r in sample]))
+    return net if labels else None
 
 
 def held_out():
@@ -193,37 +211,6 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-class Predictor:
-    """Predictions of one worker process, with the words that it has met."""
-
-    def __init__(self, net: Network) -> None:
-        self.net, self.at, self.sums = net, {}, np.zeros((0, len(net.labels) + 1), np.float32)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        read = [cut(t) if t and has_letter(t) else [] for t in texts]
-        new = list(set().union(*read) - self.at.keys())
-        if len(self.at) + len(new) > CACHE_WORDS:
-            self.at, self.sums, new = {}, self.sums[:0], list(set().union(*read))
-        if new:
-            self.at |= dict(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.sums = np.concatenate([self.sums, self.net.words(new)])
-        label, score, get = [], np.zeros(len(texts)), self.at.__getitem__
-        for i, own in enumerate(read):
-            if not own:
-                label.append(UNKNOWN)
-                continue
-            s = self.sums[np.fromiter(map(get, own), np.int64, len(own))].sum(axis=0, dtype=np.float64)
-            best = int(s[:-1].argmax())
-            label.append(self.net.labels[best])
-            score[i] = min(1.0, s[best] / s[-1])
-        return label, score
-
-
-def _predictor(net: Network) -> Predictor:
-    key = zlib.crc32(b"".join(net.w[k].tobytes() for k in sorted(net.w)))
-    return held(("language", key), lambda: Predictor(net))
-
-
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with text -> all their columns and lang_pred, score."""
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -234,13 +221,12 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
         if net is None:
             label, score = [UNKNOWN] * len(texts), [np.zeros(len(texts))]
         else:
-            p = _predictor(net)
             for a, b in portions([t or "" for t in texts]):
-                own = p.predict(texts[a:b])
+                own = net.predict(texts[a:b])
                 label += own[0]
                 score.append(own[1])
         score = np.concatenate(score) if score else np.zeros(0)
         return pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(label, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return arrow_pass(docs.select(*columns), each, f"{schema}, lang_pred string, score double")
+    kept = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
+    return arrow_pass(kept, each, schema_with(kept, "lang_pred string, score double"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from .common import arrow_pass, portions, save
+from .common import arrow_pass, portions, save, schema_with
 from .components import components
 
 BLOCK = 2048
@@ -93,8 +93,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
         fp = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(fp.view(np.int64))], names=[*columns, "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return arrow_pass(docs.select(*columns, "text"), each, f"{schema}, fp long")
+    return arrow_pass(docs.select(*columns, "text"), each, schema_with(docs.select(*columns), "fp long"))
 
 
 def segments(m: int) -> list[int]:

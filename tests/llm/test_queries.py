@@ -443,9 +443,9 @@ def test_op10_gradients():
     net = langid.Network(["a", "b", "c"])
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     x, y = rng.integers(97, 110, (5, 4)), np.array([0, 1, 2, 1])
-    loss = lambda: float(-np.log(net.positions(x)[:, np.arange(4), y]).mean())
+    loss = lambda: float(-np.log(net.positions(x)[:, y, np.arange(4)]).mean())
     g = net.learn(x, y)
-    for name in ("own_f", "own_b", "in_f", "out", "gate_b", "embed"):
+    for name in ("own_f", "own_b", "in_f", "out", "gate_b", "embed", "bias"):
         at = (int(x[1, 1]), 2) if name == "embed" else tuple(int(rng.integers(n)) for n in net.w[name].shape)
         net.w[name][at] += 1e-3
         up = loss()
@@ -455,11 +455,30 @@ def test_op10_gradients():
         assert abs((up - down) / 2e-3 - g[name][at]) < 1e-3 + 0.05 * abs(g[name][at]), name
 
 
-def test_op10_words_counted_as_read():
+def test_op10_every_position_counts_once():
+    """Against a network that runs step by step over each whole text: long words, texts without spaces and short ones among others."""
+    rng = random.Random(2)
     net = langid.Network(["a", "b"])
-    texts = ["one two two three " + "z" * 70, "two", "12 !!", None]
-    label, score = langid.Predictor(net).predict(texts)
-    assert label[2:] == ["und", "und"]
-    for t, s in zip(texts[:2], score, strict=False):
-        p = np.concatenate([net.positions(langid.as_matrix([w]))[:, 0] for w in langid.cut(t)])
-        assert abs(p.mean(axis=0).max() - s) < 1e-5
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    texts = ["日本語のテキスト" * 150, "z" * 1400, "one two", "x", " ".join(rng.choices(["der", "the", "Straße", "été"], k=900)), "a" * langid.STRIDE, "b" * (langid.STRIDE + 1)]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    def states(raw, way):
+        h, w, s, out = langid.HIDDEN, net.w, np.zeros(langid.HIDDEN), {}
+        for t in range(len(raw)) if way == "f" else range(len(raw) - 1, -1, -1):
+            a = w[f"in_{way}"] @ w["embed"][raw[t]] + w[f"gate_{way}"][:, 0]
+            u = w[f"own_{way}"] @ s
+            z, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+            s = out[t] = z * s + (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :])
+        return out
+    for t, got in zip(texts, net.pooled([t.encode() for t in texts]), strict=True):
+        raw = t.encode()
+        f, b = states(raw, "f"), states(raw, "b")
+        y = np.array([net.w["out"] @ np.concatenate([f[k], b[k]]) + net.w["bias"][:, 0] for k in range(len(raw))])
+        p = np.exp(y) / np.exp(y).sum(1, keepdims=True)
+        assert abs(p.mean(axis=0) - got).max() < (1e-9 if len(raw) <= langid.STRIDE else 1e-3), t[:20]
+
+
+def test_op10_learns_from_one_row_an_id(spark):
+    rows = [(1, "the thing " * 30, "en")] * 400 + [(2, "der und nicht " * 30, "de")]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.predict(["the thing the", "und der nicht", None, "123 !"])[0] == ["en", "de", "und", "und"]
