@@ -332,22 +332,50 @@ def check_packing(placed, capacity, slack):
     assert len(by) <= -(-sum(n for _, _, n in placed) // capacity) + slack
 
 
-def test_op7_rounds(spark):
+def best_fit(lengths, capacity):
+    bins = []  # longest first, one by one
+    for x in sorted(lengths, reverse=True):
+        fit = [i for i, g in enumerate(bins) if g >= x]
+        if fit:
+            bins[min(fit, key=lambda i: bins[i])] -= x
+        else:
+            bins.append(capacity - x)
+    return len(bins)
+
+
+def test_op7_sweep():
     rng = np.random.default_rng(4)
-    for capacity, top in ((64, 64), (100, 70), (7, 7)):
-        n = rng.integers(1, top + 1, 3000)
-        cut = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(n)], "doc_id long, length long").repartition(3)
-        rows = packing.pack(spark, cut, capacity).collect()
-        assert Counter(int(r.length) for r in rows) == Counter(n.tolist()) and len({r.doc_id for r in rows}) == 3000
-        bins = []  # best fit, longest first, one by one
-        for x in sorted(n.tolist(), reverse=True):
-            fit = [i for i, g in enumerate(bins) if g >= x]
-            if fit:
-                bins[min(fit, key=lambda i: bins[i])] -= x
-            else:
-                bins.append(capacity - x)
-        assert len({r.sequence_id for r in rows}) == len(bins)
-        check_packing([(r.sequence_id, r.offset, r.length) for r in rows], capacity, len(bins))
+    for capacity, top in ((64, 64), (100, 70), (7, 7), (100, 20)):
+        n = -np.sort(-rng.integers(1, top + 1, 3000))
+        own, offset, left, opened = packing.sweep(n, np.zeros(0, np.int64), capacity, True)
+        assert opened == best_fit(n.tolist(), capacity)
+        check_packing(list(zip(own, offset, n, strict=True)), capacity, opened)
+        assert np.array_equal(capacity - np.bincount(own, n), left)
+    assert packing.sweep(np.array([51] * 3 + [24] * 2 + [16] * 6), np.zeros(0, np.int64), 100, True)[3] == 3
+    own, offset, left, opened = packing.sweep(np.array([9, 5, 5, 1]), np.array([4, 12, 5]), 20, False)
+    assert own.tolist() == [1, 2, -1, 1] and offset.tolist() == [8, 15, 0, 17] and left.tolist() == [4, 2, 0] and not opened
+
+
+def test_op7_matches():
+    plan = packing._matches([(0, 0, 0, 3, 90), (1, 2, 50, 1, 45), (2, 7, 20, 2, 18), (3, 9, 4, 0, 0)])
+    assert plan == [(1, 0, 2, 0, 0, 1), (2, 0, 2, 1, 0, 2), (2, 2, 6, 0, 2, 4), (3, 0, 8, 2, 0, 4)]
+
+
+@pytest.mark.parametrize("rows,capacity,top", [(300, 64, 64), (250, 100, 70), (400, 2048, 2048), (300, 100, 3), (100_000, 100, 70)])
+def test_op7_rounds(spark, monkeypatch, rows, capacity, top):
+    """In many ranges, with a length that a third of the pieces have: all are placed once, in about as few sequences as best fit."""
+    monkeypatch.setattr(packing, "RANGE", rows)
+    rng = np.random.default_rng(4)
+    n = np.where(rng.random(3000) < 0.3, top // 3 + 1, rng.integers(1, top + 1, 3000))
+    cut = spark.createDataFrame([(int(i), int(x), "x") for i, x in enumerate(n)], "size long, length long, part string").repartition(3)
+    found = packing.pack(spark, cut, capacity)
+    assert found.columns == ["size", "length", "part", "sequence_id", "offset"]
+    found = found.collect()
+    assert Counter((r["size"], r["length"]) for r in found) == Counter((i, x) for i, x in enumerate(n.tolist()))
+    best = best_fit(n.tolist(), capacity)
+    used = len({r.sequence_id for r in found})
+    assert used <= (best if rows == 100_000 else 1.02 * best + 3000 / rows), (used, best)  # each range may leave a sequence open
+    check_packing([(r.sequence_id, r.offset, r.length) for r in found], capacity, used)
 
 
 def test_op8(spark, folder, docs):
