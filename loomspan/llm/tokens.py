@@ -2,7 +2,7 @@
 
 A text is cut only where the tokenizer itself always cuts: where white space begins.  Ids of a
 text are then the ids of its pieces in order, so a piece that returns (most words do) is
-encoded once.  A piece of letters with ASCII punctuation after it needs only the library's
+encoded once and kept in a bounded cache.  A piece of letters with ASCII punctuation after it needs only the library's
 BPE model, as the other steps leave it alone; all other pieces take the whole pipeline.
 Every id comes from the tokenizers library.
 """
@@ -13,14 +13,19 @@ import json
 import os
 import re
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import held
 
 #: Unicode White_Space, as \s in the tokenizers' own patterns (fixed values).
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: White space other than ASCII's.
+_OTHER = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: Characters at which str.split cuts though they aren't White_Space.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters that NFC leaves alone.
@@ -33,7 +38,9 @@ _TWICE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
 _WIDE = re.compile("[\x85\xa0  -     　] ")
 
 #: Pieces that a generation of a cache holds at most, likewise where words have a cache of their own, and characters of a piece that is kept at most.
-CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 300_000, 30_000, 48
+CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 200_000, 30_000, 48
+#: Characters that are encoded together, about.
+PORTION = 4_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,6 +76,21 @@ class _Kept(dict):
         return piece in self or piece in self.old
 
 
+def _split(pieces: pa.StringArray) -> list[str]:
+    """Strings without white space as a list: far faster than one by one."""
+    if not len(pieces):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py().split(" ")
+
+
+def _spread(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat holds parts of these sizes, one after another: the parts of this index, and their sizes."""
+    counts = sizes[index]
+    places = np.repeat((np.cumsum(sizes) - sizes)[index] - (np.cumsum(counts) - counts), counts)
+    places += np.arange(len(places))
+    return flat[places], counts
+
+
 class Encoder:
     """ids() and spans() of texts.  `spaced`: pieces keep the white space before them, and case counts."""
 
@@ -133,17 +155,62 @@ class Encoder:
         return b"".join([after[c[1:]] if c[0] == " " and len(c) > 1 and not c[1].isspace() else raw[c] for c in cut])
 
     def _text(self, text: str) -> bytes:
+        """Ids of a text with white space that isn't cut as most is."""
         if not self.spaced:
             return b"".join(map(self._raw.__getitem__, text.split(" ") if _ODD.search(text) else text.split()))
-        if any(x in text for x in _TWICE) or not text.isascii() and _WIDE.search(text):
-            return self._join(_PIECE.findall(text))
-        # No white space stands before a space, so the text is cut before each.
-        first, *rest = text.split(" ")
-        return (self._raw[first] if first else b"") + b"".join(map(self._after.__getitem__, rest))
+        return self._join(_PIECE.findall(text))
+
+    def _usual(self, text: str) -> bool:
+        """Whether cutting before each space, or at ASCII white space where spaces don't count, gives a text's pieces."""
+        if not self.spaced:
+            return not (_ODD.search(text) if text.isascii() else _OTHER.search(text))
+        return not (any(x in text for x in _TWICE) or not text.isascii() and _WIDE.search(text))
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of usual texts.
+
+        Arrow tells their pieces apart, and words from the marks after them; each different word
+        is looked up once, and numpy puts ids in order, first of pieces, then of texts.
+        """
+        whole = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
+        cut = pc.split_pattern(whole, " ") if self.spaced else pc.ascii_split_whitespace(whole)
+        coded = cut.values.dictionary_encode()
+        names, at, edges = coded.dictionary, coded.indices.to_numpy(), cut.offsets.to_numpy()
+        word = pc.ascii_rtrim(names, characters=_MARKS)
+        plain = pc.match_substring_regex(word, "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$")
+        marked = pc.and_(plain, pc.not_equal(pc.binary_length(word), pc.binary_length(names)))
+        cache = self._after if self.spaced else self._raw
+        rests = [x[n:] for x, n in zip(_split(names.filter(marked)), pc.utf8_length(word.filter(marked)).to_pylist(), strict=True)]
+        odd = names.filter(pc.invert(plain)).to_pylist()
+        word = word.filter(plain) if self.spaced else pc.utf8_lower(word.filter(plain))
+        word = word.dictionary_encode()
+        plain, marked = plain.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
+        # Units: nothing, words, other pieces, marks.  A piece is two units.
+        units = [b"", *map(cache.__getitem__, _split(word.dictionary)), *[cache[x] if x or self.spaced else b"" for x in odd]]
+        two = np.zeros((len(names), 2), np.int64)
+        two[plain, 0] = 1 + word.indices.to_numpy()
+        two[~plain, 0] = 1 + len(word.dictionary) + np.arange(len(odd))
+        marks = {x: len(units) + k for k, x in enumerate(dict.fromkeys(rests))}
+        units += map(self._raw.__getitem__, marks)
+        two[marked, 1] = [marks[x] for x in rests]
+        if self.spaced:  # a text's first piece has no space before it
+            first = edges[:-1]
+            heads, of = np.unique(at[first], return_inverse=True)
+            two = np.concatenate([two, np.stack([len(units) + np.arange(len(heads)), np.zeros(len(heads), np.int64)], axis=1)])
+            units += [self._raw[x] if x else b"" for x in names.take(pa.array(heads)).to_pylist()]
+            at = at.copy()
+            at[first] = len(names) + of
+        sizes = np.array([len(x) for x in units], np.int64) // 4
+        ids, sizes = _spread(np.frombuffer(b"".join(units), "<u4"), sizes, two.ravel())
+        ids, sizes = _spread(ids, sizes.reshape(-1, 2).sum(axis=1), at)
+        raw, ends = ids.tobytes(), (4 * np.concatenate([[0], np.cumsum(sizes)])[edges]).tolist()
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [self._text(t) for t in texts]
+        usual = [bool(t) and self._usual(t) for t in texts]
+        many = iter(self._together([t for t, u in zip(texts, usual, strict=True) if u]) if any(usual) else ())
+        return [next(many) if u else self._text(t) for t, u in zip(texts, usual, strict=True)]
 
     def spans(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Character starts and ends of a byte-level tokenizer's tokens; a token of part of a character has all of it."""
