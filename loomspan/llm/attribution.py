@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_pass, portions
-from .tokens import encoder
+from .tokens import PORTION, encoder
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, doc_tokens long"
 
@@ -48,7 +48,7 @@ def attribute(docs: DataFrame, tokenizer: str, sections: Callable[[str], np.ndar
         docs, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
         doc, number, begin, end, count, total = [], [], [], [], [], []
         e = encoder(tokenizer, True)
-        for a, b in portions(texts):
+        for a, b in portions(texts, PORTION):
             for d, text, ids in zip(docs[a:b], texts[a:b], e.ids(texts[a:b]), strict=True):
                 cuts = sections(text)
                 owner = allocate(*e.spans(text, ids), cuts, len(text)) if ids else np.empty(0, np.int64)
@@ -62,4 +62,4 @@ def attribute(docs: DataFrame, tokenizer: str, sections: Callable[[str], np.ndar
         out = [pa.array(doc, pa.int64()), pa.array(whole[0].astype(np.int32)), *[pa.array(x.astype(np.int64)) for x in whole[1:]]]
         return pa.RecordBatch.from_arrays(out, names=["doc_id", "section", "start", "end", "n_tokens", "doc_tokens"])
 
-    return arrow_pass(docs.select("doc_id", "text"), each, SCHEMA)
+    return arrow_pass(docs.select("doc_id", "text"), each, SCHEMA, keeps=True)

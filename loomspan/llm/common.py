@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import prepare
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,8 +66,30 @@ def schema_with(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
-def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+def settle() -> None:
+    """Gives memory that is free by now back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: bool = False) -> DataFrame:
+    """mapInArrow.  keeps: the function asks for held(); what others have left there goes before any other."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _held.clear()
+        yield from function(batches)
+        settle()
+
+    prepare(df.sparkSession)
+    return df.mapInArrow(each, schema)
+
+
+def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, keeps: bool = False) -> DataFrame:
+    """in_arrow for a function of one batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,8 +97,7 @@ def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
             if out is not None and out.num_rows:
                 yield out
 
-    prepare(df.sparkSession)
-    return df.mapInArrow(each, schema)
+    return in_arrow(df, each, schema, keeps)
 
 
 _held: dict[str, object] = {}

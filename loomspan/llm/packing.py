@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import prepare
-from .common import portions, save
-from .tokens import encoder
+from .common import in_arrow, portions, save
+from .tokens import PORTION, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of a range, about (over 4,096 ranges up to 25 times as many); and the bands' lower ends, as parts of a sequence.
@@ -47,13 +46,12 @@ RANGE, BANDS = 20_000, (2, 4, 8, 32)
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, spaced: bool = False) -> DataFrame:
     """docs (doc_id, text) -> PIECES, with the ids themselves if asked for."""
-    prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-            for a, b in portions(texts):
+            for a, b in portions(texts, PORTION):
                 rows = []
                 for doc, raw in zip(docs[a:b], encoder(tokenizer, spaced).ids(texts[a:b]), strict=True):
                     raw += end
@@ -68,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     out, names = [*out, pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(own), "<i4")))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(each, PIECES + ", ids array<int>" * with_ids)
+    return in_arrow(docs.select("doc_id", "text"), each, PIECES + ", ids array<int>" * with_ids, keeps=True)
 
 
 def sweep(lengths: np.ndarray, gaps: np.ndarray, capacity: int, opens: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -113,7 +111,6 @@ def sweep(lengths: np.ndarray, gaps: np.ndarray, capacity: int, opens: bool) ->
 def _swept(rows: DataFrame, capacity: int, step: int, opens: bool) -> DataFrame:
     """rows (size, sequence_id of gaps or null, columns of pieces) -> swept rows: with offset of pieces placed, and
     the range's number and the rank there of pieces left (largest first) and of gaps that hold whatever smaller ranges have (smallest first)."""
-    spark = rows.sparkSession
     n = rows.count() / RANGE
     n = max(1, math.ceil(n / min(25, max(1, n / 4096))))
     tie = F.xxhash64(*rows.columns)
@@ -122,7 +119,6 @@ def _swept(rows: DataFrame, capacity: int, step: int, opens: bool) -> DataFrame:
     kept = [c for c in rows.columns if c not in ("size", "sequence_id", "is_piece")]
     schema = T.StructType([*rows.select("size", "sequence_id", "is_piece", *kept).schema, *T.StructType.fromDDL("offset long, part int, rank long")])
     rows = rows.select("size", "sequence_id", "is_piece", *kept, F.spark_partition_id().alias("part"))
-    prepare(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
@@ -154,7 +150,7 @@ def _swept(rows: DataFrame, capacity: int, step: int, opens: bool) -> DataFrame:
         out = pa.Table.from_arrays([columns.get(f.name, none(k, f.type)) for f in out.schema], schema=out.schema)
         yield from out.filter(pa.array(left > 0)).to_batches(20_000)
 
-    return rows.mapInArrow(each, schema)
+    return in_arrow(rows, each, schema)
 
 
 def _matches(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:

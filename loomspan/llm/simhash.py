@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
-from .common import arrow_pass, portions, save, schema_with
+from .common import arrow_pass, in_arrow, portions, save, schema_with
 from .components import components
 
 BLOCK = 2048
@@ -162,7 +161,6 @@ def linked(spark: SparkSession, classes: DataFrame, most: int) -> DataFrame:
     rows = rows.select("choice", "bits", (low * 65536 + high).cast("long").alias("pair"), "fp")
     key = ["choice", "bits", "pair"]
     rows = rows.repartition(*key).sortWithinPartitions(*key)
-    prepare(spark)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rest = (*key, "fp"), None
@@ -184,7 +182,7 @@ def linked(spark: SparkSession, classes: DataFrame, most: int) -> DataFrame:
                 found = np.array(links, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return rows.select(*key, "fp").mapInArrow(search, "a long, b long").distinct()
+    return in_arrow(rows.select(*key, "fp"), search, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:

@@ -2,8 +2,7 @@
 
 A dataset has two tables.  tokens: one row a document in ascending doc_id order (nulls
 first), with part (the range it was written in), local_start (ids before it in its part),
-n_tokens and ids, a list of unsigned 16-bit values held as INT32, or the ids themselves if
-the vocabulary is larger.  parts: ids and documents of every part and the ids before it.
+n_tokens and ids, a list of INT32.  parts: ids and documents of every part and the ids before it.
 Ids are dictionary-encoded (a vocabulary fits one dictionary page); the other columns of
 format version 2 are delta-encoded.  Row groups and pages are small and carry column
 indexes, so a reader of some documents or of the lengths alone reads little else.
@@ -22,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import prepare
-from .common import arrow_pass, portions
-from .tokens import encoder
+from .common import arrow_pass, in_arrow, portions
+from .tokens import PORTION, encoder
 
 WRITER = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
@@ -43,14 +42,13 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>
 
 def encode_sorted(docs: DataFrame, path: str, end_id: int = 0, spaced: bool = True) -> DataFrame:
     """docs (doc_id, text) in their order within each partition -> SCHEMA."""
-    prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            for a, b in portions(texts):
+            for a, b in portions(texts, PORTION):
                 rows = [x + end for x in encoder(path, spaced).ids(texts[a:b])]
                 n = np.array([len(x) // 4 for x in rows], np.int64)
                 ends = np.cumsum(n)
@@ -62,7 +60,7 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int = 0, spaced: bool = Tr
                 )
                 start += int(ends[-1])
 
-    return docs.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(each, SCHEMA)
+    return in_arrow(docs.select("doc_id", F.spark_partition_id().alias("part"), "text"), each, SCHEMA, keeps=True)
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, spaced: bool = True) -> None:
