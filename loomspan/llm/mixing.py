@@ -14,7 +14,7 @@ The result is one row of cut-offs a source; documents are then decided one by on
 
 Nulls and ties: a null source is a source of its own, after all others; null text has size
 0; documents of a source with equal id and size (repeated rows) are taken or left together.
-An empty table gives no rows.  Sources have one row each in the tables kept aside; their
+An empty table gives no rows, a text of any length a size.  Sources have one row each in the tables kept aside; their
 join is Spark's own choice by measured size.
 """
 
@@ -28,8 +28,10 @@ from pyspark.sql.window import Window
 
 from .common import save
 
-#: Documents that a bucket of the key holds, about, if all were of one source.
+#: Documents that a bucket of the key holds, about, if all were of one source and of the lowest quality.
 BUCKET_ROWS = 1024
+#: The lowest quality.
+LEAST = 0.25
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -40,7 +42,7 @@ def words(text: Column) -> Column:
 def quality(text: Column, size: Column) -> Column:
     """1 where words have 3 to 10 characters on average, else 0.25."""
     mean = (F.coalesce(F.length(text), F.lit(0)) + 1).cast("double") / F.greatest(size, F.lit(1)).cast("double") - 1
-    return F.when((mean >= 3) & (mean <= 10), F.lit(1.0)).otherwise(F.lit(0.25))
+    return F.when((mean >= 3) & (mean <= 10), F.lit(1.0)).otherwise(F.lit(LEAST))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -81,17 +83,21 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return s.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
+def bucket_of(key: Column, buckets: Column) -> Column:
+    """Rising with the key.  exp(-key) is u ** (1 / quality), so its power LEAST is even for the
+    lowest quality, and no bucket holds more than 1 / LEAST of its share of any other."""
+    return F.least(F.floor((1 - F.exp(-key * LEAST)) * buckets), buckets - 1).cast("long")
+
+
 def cutoffs(
-    spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0
+    spark: SparkSession, rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0
 ) -> DataFrame:
-    """One row a source: source_size, target, epochs and the last (key, doc_id, size) of the fractional epoch."""
-    rows = save(spark, with_key(docs).select("source", "doc_id", "size", "key"), "mix-keys")
+    """rows (source, doc_id, size, key), cheap to read again -> one row a source: source_size,
+    target, epochs and the last (key, doc_id, size) of the fractional epoch."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_ROWS))
-    # The key is exponential, so this is even; any rising function of it would do.
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", bucket_of(F.col("key"), F.lit(buckets)))
 
     src = targets(sizes, weights, share, cap)
     src = src.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -106,9 +112,10 @@ def cutoffs(
     within = _join(held, wide.select("source", F.col("span").alias("in_span"), "base", "rest")).filter("span = in_span")
     cut = save(spark, _ends(within.select("source", "bucket", "held"), wide.select("source", "base", "rest"), "bucket").withColumnRenamed("base", "before"), "mix-cuts")
 
-    edge = rows.groupBy("source", "bucket", "key", "doc_id", "size").agg(F.sum("size").alias("unit"))
+    # Only documents of the bucket at a source's edge go on from here.
     c = cut.select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before", "rest")
-    edge = edge.join(c, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
+    edge = rows.join(c, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
+    edge = edge.groupBy("source", "key", "doc_id", "size", "before", "rest").agg(F.sum("size").alias("unit"))
     run = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("before", F.col("before") + F.coalesce(F.sum("unit").over(run), F.lit(0)))
     edge = edge.filter(F.col("before") + F.col("unit") / 2 <= F.col("rest"))
@@ -134,16 +141,19 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("r_source")), "left").drop("r_source")
 
 
-def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, texts: bool = True, **how) -> DataFrame:
     """docs with size, source_size, target, copies (times that the mix takes it) and taken (words).
 
-    Columns of docs with one of these names are replaced.
+    Columns of docs with one of these names are replaced.  texts: whether text stays; without
+    it, words are counted once, else again as the documents are read again.
     """
     own = {"size", "key", "source_size", "weight", "target", "epochs", "bucket", "last", "buckets", "copies", "taken", "r_source"}
-    docs = docs.select(*[c for c in docs.columns if c not in own])
-    cut = cutoffs(spark, docs, **how)
-    out = _join(with_key(docs), cut)
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).cast("long")
+    docs = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in own])
+    keyed = with_key(docs)
+    rows = save(spark, keyed.select("source", "doc_id", "size", "key") if texts else keyed.drop("text"), "mix-keys")
+    cut = cutoffs(spark, rows.select("source", "doc_id", "size", "key"), **how)
+    out = _join(keyed if texts else rows, cut)
+    bucket = bucket_of(F.col("key"), F.col("buckets"))
     place = F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "size")
     before = bucket < F.col("bucket")
     within = (bucket == F.col("bucket")) & (place <= F.col("last"))

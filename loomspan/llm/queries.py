@@ -52,8 +52,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(spark, docs, texts=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
