@@ -10,11 +10,13 @@ Features of the stored samples, document by document, so that equal texts give e
 * segments of energy with hysteresis: a segment begins above the high threshold and ends
   below the low one, thresholds being set from the document's own energies.
 
-Log-mel frames are stored in tensors of shape (FRAMES, BANDS), the last one padded with its
-floor, as a fixed-shape tensor column of float32 with the time span of each.
+Features are stored in tensors of shape (FRAMES, BANDS), int16 in steps of 1 / STEP, the last
+one of a document padded with its floor; beside each are its time span and the spans of the
+energy segments that begin in it.  as_tensors() gives mel as a fixed-shape tensor column.
 
-Null text is an empty text: 576 bytes of 255.  Repeated rows each give theirs.  An empty
-table gives no rows.  Other columns are dropped.
+Null text is an empty text: 576 bytes of 255.  A text of any length is one sample row and as
+many tensors as it needs.  Repeated rows each give theirs, told apart by `row`.  An empty
+table gives no rows.  Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_pass
 
 UNIT, RATE, FRAME, HOP, FFT, BANDS, FRAMES = 576, 16_000, 200, 100, 256, 24, 32
 FLOOR = np.float32(-10.0)
-STORED = "doc_id long, n_bytes long, media binary"
-FEATURES = f"doc_id long, tensor int, begin_ms double, end_ms double, mel array<float>, shape array<int>"
+STEP = 256
+STORED = "row long, doc_id long, n_bytes long, media binary"
+FEATURES = "row long, doc_id long, tensor int, frames int, begin_ms double, end_ms double, mel array<short>, segments array<struct<begin_ms:double,end_ms:double>>"
 
 
 def pad(raw: bytes) -> bytes:
@@ -119,70 +123,93 @@ def features(payload: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return mel, segments(mel.mean(axis=1))
 
 
-def describe(mel: np.ndarray, parts: list[tuple[int, int]]) -> str:
-    means = ",".join(f"{x:.1f}" for x in mel.mean(axis=0)[:: BANDS // 4])
-    held = sum(b - a for a, b in parts)
-    first = "-".join(str(x * HOP * 2000 // RATE) for x in parts[0]) if parts else ""
-    return f"frames={len(mel)};segments={len(parts)};held={held};first_ms={first};mel={means}"
-
-
 def store(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> STORED."""
+    """docs (doc_id, text) -> STORED.  row is a number of the written row."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
         media = pa.array([to_wave(pad(x)) for x in raw], pa.binary())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in raw], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array([len(x) for x in raw], pa.int64()), media], names=["row", "doc_id", "n_bytes", "media"])
 
-    return arrow_pass(docs.select("doc_id", "text"), each, STORED)
+    return arrow_pass(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), each, STORED)
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """STORED -> checksums of the payload read back, of the stored form, and the features in short."""
+def checksums(stored: DataFrame) -> DataFrame:
+    """STORED -> its columns without media, and checksums of the payload read back and of the stored form."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for value in batch["media"]:
             media = value.as_py()
             payload = from_wave(media)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(*features(payload))))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
         out = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *out], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["n_bytes"], *out], names=["row", "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
 
-    return arrow_pass(
-        stored, each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return arrow_pass(stored, each, "row long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
 
 
 def tensors(stored: DataFrame) -> DataFrame:
-    """STORED -> FEATURES, one row a tensor of FRAMES frames; as_tensors() gives the Arrow type."""
+    """STORED -> FEATURES, one row a tensor."""
+    ms = HOP * 2000 / RATE  # of a frame's step; the features have half the rate
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        doc, number, begin, end, mels = [], [], [], [], []
-        for d, value in zip(batch["doc_id"].to_pylist(), batch["media"], strict=True):
-            mel, _ = features(from_wave(value.as_py()))
+        row, doc, number, frames, mels, spans = [], [], [], [], [], []
+        for r, d, value in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["media"], strict=True):
+            mel, parts = features(from_wave(value.as_py()))
             n = -(-len(mel) // FRAMES)
-            mels.append(np.concatenate([mel, np.full((n * FRAMES - len(mel), BANDS), FLOOR, np.float32)]).reshape(n, -1))
+            held = np.full((n * FRAMES, BANDS), FLOOR * STEP, np.int16)
+            held[: len(mel)] = np.clip(np.rint(mel * STEP), -32768, 32767)
+            mels.append(held.reshape(n, -1))
+            row += [r] * n
             doc += [d] * n
             number += range(n)
-            begin += [k * FRAMES * HOP * 2000 / RATE for k in range(n)]
-            end += [(min(len(mel), (k + 1) * FRAMES) - 1) * HOP * 2000 / RATE + FRAME * 2000 / RATE for k in range(n)]
-        if not doc:
+            frames += [min(FRAMES, len(mel) - k * FRAMES) for k in range(n)]
+            own: list[list] = [[] for _ in range(n)]
+            for a, b in parts:
+                own[a // FRAMES].append({"begin_ms": a * ms, "end_ms": b * ms})
+            spans += own
+        if not row:
             return None
-        values = np.concatenate(mels)
+        values, k, count = np.concatenate(mels), np.array(number), np.array(frames)
         at = pa.array((np.arange(len(values) + 1) * FRAMES * BANDS).astype(np.int32))
-        shape = pa.array([[FRAMES, BANDS]] * len(doc), pa.list_(pa.int32()))
-        out = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(begin), pa.array(end), pa.ListArray.from_arrays(at, pa.array(values.ravel())), shape]
-        return pa.RecordBatch.from_arrays(out, names=["doc_id", "tensor", "begin_ms", "end_ms", "mel", "shape"])
+        begin = k * FRAMES * ms
+        kind = pa.list_(pa.struct([("begin_ms", pa.float64()), ("end_ms", pa.float64())]))
+        out = [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(frames, pa.int32()), pa.array(begin), pa.array(begin + (count - 1) * ms + FRAME * 2000 / RATE)]
+        out += [pa.ListArray.from_arrays(at, pa.array(values.ravel())), pa.array(spans, kind)]
+        return pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "tensor", "frames", "begin_ms", "end_ms", "mel", "segments"])
 
     return arrow_pass(stored, each, FEATURES)
 
 
-def as_tensors(features: pa.Table) -> pa.Table:
+def described(kept: DataFrame) -> DataFrame:
+    """FEATURES as read back -> row and its features in short; whole numbers are summed, so the order doesn't count."""
+    bands = range(0, BANDS, BANDS // 6)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mel = batch["mel"].flatten().to_numpy(zero_copy_only=False).reshape(-1, FRAMES, BANDS)[:, :, bands.start :: bands.step].astype(np.int64)
+        frames = batch["frames"].to_numpy()
+        sums = (mel * (np.arange(FRAMES)[None, :, None] < frames[:, None, None])).sum(axis=1)
+        return pa.RecordBatch.from_arrays([batch["row"], batch["frames"], *[pa.array(sums[:, k]) for k in range(6)]], names=["row", "frames", *[f"b{k}" for k in range(6)]])
+
+    sums = arrow_pass(kept.select("row", "frames", "mel"), each, "row long, frames int, " + ", ".join(f"b{k} long" for k in range(6)))
+    length = F.aggregate("segments", F.lit(0.0), lambda x, y: x + y["end_ms"] - y["begin_ms"])
+    spans = kept.select("row", F.size("segments").alias("n"), length.cast("long").alias("ms"), F.array_min("segments.begin_ms").cast("long").alias("first"))
+    # Either side keeps one row a row: both are summed in one pass over the union, grouped once.
+    none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
+    both = sums.select("row", F.col("frames").cast("long"), *[f"b{k}" for k in range(6)], *none("n", "ms", "first"))
+    both = both.unionByName(spans.select("row", *none("frames", *[f"b{k}" for k in range(6)]), F.col("n").cast("long"), "ms", "first"))
+    whole = both.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("frames", "n", "ms", *[f"b{k}" for k in range(6)])], F.min("first").alias("first"))
+    means = F.concat_ws(",", *[F.round(F.col(f"b{k}") / (F.col("frames") * STEP), 1).cast("string") for k in range(6)])
+    text = F.concat(F.lit("frames="), "frames", F.lit(";segments="), "n", F.lit(";held_ms="), "ms", F.lit(";first_ms="), F.coalesce(F.col("first").cast("string"), F.lit("")), F.lit(";mel="), means)
+    return whole.select("row", text.alias("feature"))
+
+
+def as_tensors(kept: pa.Table) -> pa.Table:
     """FEATURES as Arrow, with mel as a fixed-shape tensor column."""
-    flat = features["mel"].combine_chunks()
+    flat = kept["mel"].combine_chunks()
     values = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS))
+    kind = pa.fixed_shape_tensor(pa.int16(), (FRAMES, BANDS))
     held = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, FRAMES * BANDS))
-    return features.set_column(features.schema.get_field_index("mel"), "mel", held).drop_columns(["shape"])
+    return kept.set_column(kept.schema.get_field_index("mel"), "mel", held)

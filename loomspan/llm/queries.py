@@ -29,7 +29,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(save(spark, media.store(table(spark, sf_dir, "documents")), "media", compression="zstd"))
+    stored = save(spark, media.store(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    kept = save(spark, media.tensors(stored), "media-tensors", compression="zstd")
+    return media.checksums(stored).join(media.described(kept), "row").drop("row")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

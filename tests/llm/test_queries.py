@@ -115,9 +115,19 @@ def test_op3_parts(spark):
     assert mel.shape[1] == 24 and np.ptp(mel[3:-3].argmax(1)) == 0
     e = np.array([0, 0, 5, 3, 5, 0, 0, 0, 5, 0], float)
     assert media.segments(e)[0][0] == 2 and all(a < b for a, b in media.segments(e))
-    docs = spark.createDataFrame([(1, "some text " * 3000), (2, None)], "doc_id long, text string")
-    t = media.as_tensors(media.tensors(media.store(docs)).toArrow())
+    docs = spark.createDataFrame([(1, "some text " * 3000), (2, None), (2, None)], "doc_id long, text string")
+    stored = media.store(docs)
+    t = media.as_tensors(media.tensors(stored).toArrow())
     assert str(t.schema.field("mel").type).startswith("extension<arrow.fixed_shape_tensor") and t.num_rows > 2
+    short = {r.row: r.feature for r in media.described(media.tensors(stored)).collect()}
+    for r in stored.collect():
+        mel, parts = media.features(media.from_wave(bytes(r.media)))
+        own = t.filter(np.array([x == r.row for x in t["row"].to_pylist()]))
+        held = np.concatenate([x.reshape(media.FRAMES, media.BANDS) for x in own["mel"].combine_chunks().to_numpy_ndarray()])
+        assert np.allclose(held[: len(mel)] / media.STEP, mel, atol=0.01) and (held[len(mel) :] == media.FLOOR * media.STEP).all()
+        assert sum(own["frames"].to_pylist()) == len(mel) and own["begin_ms"].to_pylist()[0] == 0
+        assert [(x["begin_ms"], x["end_ms"]) for s in own["segments"].to_pylist() for x in s] == [(a * 12.5, b * 12.5) for a, b in parts]
+        assert short[r.row].startswith(f"frames={len(mel)};segments={len(parts)};held_ms={sum(int(b * 12.5 - a * 12.5) for a, b in parts) if len(parts) < 2 else ''}")
 
 
 def brute_pii(text):
