@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import glob
+import mmap
 import os
 from collections.abc import Iterator
 
-BLOCK, MOST = 2048, 256 << 10
+BLOCK = 2048
 
 
 def _root(data) -> tuple[int, int]:
@@ -22,29 +23,44 @@ def _extent(data, at: int) -> tuple[int, int]:
 
 
 def _folder(data, begin: int, size: int) -> Iterator[tuple[str, int, int, int]]:
-    """(name, flags, begin, size) of a directory's records; none goes over the end of a block."""
-    at, end = begin, begin + min(size, MOST)
+    """(name, flags, begin, size) of a directory's records, however many; none goes over the end of a block.
+
+    ValueError where a record goes over the directory's end or has no room for its name.
+    """
+    at, end = begin, begin + size
+    if end > len(data):
+        raise ValueError(f"a directory of {size} bytes at {begin} goes over the image's end")
     while at < end:
         n = data[at]
         if n == 0:
             at = (at // BLOCK + 1) * BLOCK
             continue
-        name = bytes(data[at + 33 : at + 33 + data[at + 32]])
+        wide = data[at + 32] if n > 33 else 0
+        if not wide or 33 + wide > n or at + n > end:
+            raise ValueError(f"a broken directory record at {at}")
+        name = bytes(data[at + 33 : at + 33 + wide])
         if name not in (b"\0", b"\1"):
-            yield name.decode("latin-1").split(";")[0], data[at + 25], *_extent(data, at)
+            yield name.decode("latin-1").split(";")[0].rstrip("."), data[at + 25], *_extent(data, at)
         at += n
 
 
 def files(data, under: str = "") -> Iterator[tuple[str, int, int]]:
-    """(path, begin, size) of every extent of an image's files, in order; a file of several has one row each."""
+    """(path, begin, size) of every extent of an image's files, in order; a file of several has one row each.
+
+    under: the paths' beginning, in capitals or not.  A folder that holds itself is read once.
+    """
+    seen = set()
     todo = [("", *_root(data))]
     while todo:
         path, begin, size = todo.pop()
+        if begin in seen:
+            continue
+        seen.add(begin)
         for name, flags, a, n in _folder(data, begin, size):
             own = f"{path}/{name}".lstrip("/")
             if flags & 2:
                 todo.append((own, a, n))
-            elif own.startswith(under):
+            elif own.upper().startswith(under.upper()):
                 yield own, a, n
 
 
@@ -61,8 +77,10 @@ def kind_of_folder(folder: str) -> str:
     """By its first image, else by its media files."""
     images = sorted(glob.glob(os.path.join(folder, "*.iso")) + glob.glob(os.path.join(folder, "*", "*.iso")))
     if images:
-        with open(images[0], "rb") as f:
-            return kind_of_image(f.read(64 << 20))
+        if not os.path.getsize(images[0]):
+            return "dvd"
+        with open(images[0], "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return kind_of_image(data)
     if glob.glob(os.path.join(folder, "BDMV", "STREAM", "*.m2ts")):
         return "bluray"
     raise ValueError(f"{folder}: no disc image and no transport streams")

@@ -138,6 +138,17 @@ def test_iso(tmp_path):
     assert list(isofs.files(data, "BDMV")) == [("BDMV/A.M2TS", 20 * 2048, 5)]
     (tmp_path / "x.iso").write_bytes(data)
     assert isofs.kind_of_folder(str(tmp_path)) == "bluray" and isofs.kind_of_image(b"\0" * 40000) == "dvd"
+    assert list(isofs.files(data, "bdmv/a")) == [("BDMV/A.M2TS", 20 * 2048, 5)]
+    # A directory of more than 256 KiB, and a name that ends in a full stop.
+    many = [record(f"F{k:06}.;1".encode(), 0, 20, 5) for k in range(8000)]
+    each = 2048 // len(many[0])
+    listing = [b"".join(many[a : a + each]).ljust(2048, b"\0") for a in range(0, len(many), each)]
+    large = [*blocks[:19], *listing]
+    large[18] = record(b"BIG", 2, 19, 2048 * len(listing)).ljust(2048, b"\0")
+    assert [x[0] for x in isofs.files(b"".join(large))] == [f"BIG/F{k:06}" for k in range(8000)] and len(listing) * 2048 > 256 << 10
+    for broken in (bytes([40, 0]) + b"\0" * 30 + b"\0" * 8, bytes([60]) + record(b"A", 0, 20, 5)[1:32] + bytes([50]) + b"A" * 27):
+        with pytest.raises(ValueError):
+            list(isofs.files(b"".join([*blocks[:18], broken.ljust(2048, b"\0"), *blocks[19:]])))
     with pytest.raises(ValueError):
         isofs.kind_of_folder(str(tmp_path / "none"))
 
