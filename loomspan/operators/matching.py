@@ -1,8 +1,10 @@
 """Content matching: an index of source windows, target windows that meet it, maximal extension.
 
-Sources are sampled at a stride, targets at every position, so a shared run of stride plus
-window characters always meets the index.  Windows travel as 64-bit rolling hashes made in
-Arrow batches; texts travel only for the diagonals that are hit.
+Both sides choose their windows by content: of every WINNOW windows one after another, the
+one with the least hash.  A run of RUN characters that two texts share has such windows whole,
+so both choose the same of them, and no such run is missed, though either side sends about
+an eighth of its windows only.  Windows travel as 64-bit rolling hashes made in Arrow
+batches; texts travel only for the diagonals that are hit.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from pyspark.sql.window import Window
 
 from ..session import prepare
 
-WINDOW = 64
+WINDOW, WINNOW = 64, 16
+#: Shared runs of so many characters are surely found; shorter ones are no result.
+RUN = WINDOW + WINNOW - 1
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
@@ -44,21 +48,32 @@ def rolling_hashes(points: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def windows(texts: DataFrame, key: str, stride: int, window: int = WINDOW) -> DataFrame:
-    """texts (key, text) -> key, pos (from 0), hash of every stride-th window that fits."""
+def chosen(hashes: np.ndarray, winnow: int) -> np.ndarray:
+    """Places of the least of every `winnow` hashes one after another, the first of equals."""
+    if len(hashes) < winnow:
+        return np.empty(0, np.int64)
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    least = np.lib.stride_tricks.sliding_window_view(mixed, winnow).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def windows(texts: DataFrame, key: str, stride: int = 1, window: int = WINDOW, winnow: int | None = None) -> DataFrame:
+    """texts (key, text) -> key, pos (from 0), hash of every stride-th window that fits, or of those chosen by content."""
 
     def each(batches):
         for batch in batches:
             ids, counts, pos, hashes = batch[key], [], [], []
             for t in batch["text"].to_pylist():
-                h = rolling_hashes(_code_points(t or ""), window)[::stride]
-                counts.append(len(h))
-                pos.append(np.arange(len(h), dtype=np.int64) * stride)
-                hashes.append(h)
+                h = rolling_hashes(_code_points(t or ""), window)
+                at = chosen(h, winnow) if winnow else np.arange(0, len(h), stride)
+                counts.append(len(at))
+                pos.append(at)
+                hashes.append(h[at])
             if not counts:
                 continue
-            at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            out = [ids.take(at), pa.array(np.concatenate(pos)), pa.array(np.concatenate(hashes).view(np.int64))]
+            own = pa.array(np.repeat(np.arange(len(counts)), counts))
+            out = [ids.take(own), pa.array(np.concatenate(pos).astype(np.int64)), pa.array(np.concatenate(hashes).view(np.int64))]
             yield pa.RecordBatch.from_arrays(out, names=[key, "pos", "hash"])
 
     prepare(texts.sparkSession)
@@ -71,24 +86,25 @@ def postings(texts: DataFrame, key: str, stride: int = WINDOW, window: int = WIN
     return w.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col(key).alias("file"), F.col("pos").alias("pos"))).alias("first"))
 
 
-def seeds(targets: DataFrame, target: str, sources: DataFrame, source: str, stride: int = WINDOW, window: int = WINDOW, earlier: bool = False, most: int | None = None) -> DataFrame:
+def seeds(targets: DataFrame, target: str, sources: DataFrame, source: str, window: int = WINDOW, winnow: int = WINNOW, earlier: bool = False, most: int | None = None) -> DataFrame:
     """Pairs of target and source places with equal window hashes: target, source, diagonals (source - target) with their places.
 
-    A window that all sources share pairs each target with each of them; `most` keeps its first
-    places only, as the exact mode's cap of 64 does.  Without it, every place counts.
+    `earlier`: only sources of a smaller id.  A window that all sources share pairs each target
+    with each of them; `most` keeps its first places only, as the exact mode's cap of 64 does.
+    Without it, every place counts.
     """
-    dense = windows(targets, target, 1, window).select(F.col(target).alias("target"), F.col("pos").alias("t_pos"), "hash")
-    index = windows(sources, source, stride, window).select(F.col(source).alias("source"), F.col("pos").alias("s_pos"), "hash")
+    t = windows(targets, target, window=window, winnow=winnow).select(F.col(target).alias("target"), F.col("pos").alias("t_pos"), F.col("hash").alias("t_hash"))
+    index = windows(sources, source, window=window, winnow=winnow).select(F.col(source).alias("source"), F.col("pos").alias("s_pos"), "hash")
     if most:
         rank = F.row_number().over(Window.partitionBy("hash").orderBy("source", "s_pos"))
         index = index.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
-    both = dense.join(index, "hash")
-    both = both.filter("source < target") if earlier else both
+    met = F.col("t_hash") == F.col("hash")
+    both = t.join(index, met & (F.col("source") < F.col("target")) if earlier else met)
     return both.withColumn("diagonal", F.col("s_pos") - F.col("t_pos")).groupBy("target", "source", "diagonal").agg(F.array_sort(F.collect_set("t_pos")).alias("places"))
 
 
-def extend(hits: DataFrame, targets: DataFrame, target: str, sources: DataFrame, source: str, window: int = WINDOW) -> DataFrame:
-    """Diagonals with places -> maximal equal runs that hold a place: target, source, s, e, src.
+def extend(hits: DataFrame, targets: DataFrame, target: str, sources: DataFrame, source: str, window: int = WINDOW, least: int = RUN) -> DataFrame:
+    """Diagonals with places -> maximal equal runs of `least` characters or more that hold a place: target, source, s, e, src.
 
     Runs are found in the aligned texts at once; windows whose hashes met by chance give none.
     """
@@ -107,7 +123,7 @@ def extend(hits: DataFrame, targets: DataFrame, target: str, sources: DataFrame,
                 at = np.searchsorted(edges, places)  # the first difference at or after each place
                 for k in np.unique(at):
                     s, e = int(edges[k - 1]) + 1, int(edges[k])
-                    if any(s <= p and p + window <= e for p, q in zip(places, at, strict=True) if q == k):
+                    if e - s >= least and any(s <= p and p + window <= e for p, q in zip(places, at, strict=True) if q == k):
                         rows.append((t_id, s_id, s, e, s + diagonal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["target", "source", "s", "e", "src"])

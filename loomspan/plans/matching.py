@@ -11,13 +11,15 @@ from .base import query, sql_complement, sql_merge, table
 
 
 def _sql_runs(target: str, key: str, earlier: str = "") -> str:
-    """CTEs to runs (target, source, s, e, src) of a table's texts against documents."""
-    return f"""ts AS (SELECT {key} AS target, text FROM {target} WHERE length(text) >= 64),
-ss AS (SELECT doc_id AS source, text FROM documents WHERE length(text) >= 64),
-tw AS (SELECT target, p AS t_pos, substr(text, p + 1, 64) AS w FROM (SELECT target, text, unnest(range(0, length(text) - 63)) AS p FROM ts)),
-sw AS (SELECT source, p AS s_pos, substr(text, p + 1, 64) AS w FROM (SELECT source, text, unnest(range(0, length(text) - 63, 64)) AS p FROM ss)),
-hit AS (SELECT DISTINCT target, source, s_pos - t_pos AS dg0, t_pos FROM tw JOIN sw USING (w) {earlier}),
-dia AS (SELECT DISTINCT target, source, dg0 FROM hit),
+    """CTEs to runs (target, source, s, e, src) of a table's texts against documents: all maximal runs of 79 characters or more.
+
+    Such a run holds a whole window of 64 characters that begins at a 16th of its source.
+    """
+    return f"""ts AS (SELECT {key} AS target, text FROM {target} WHERE length(text) >= 79),
+ss AS (SELECT doc_id AS source, text FROM documents WHERE length(text) >= 79),
+tw AS (SELECT target, p AS t_pos, hash(substr(text, p + 1, 64)) AS w FROM (SELECT target, text, unnest(range(0, length(text) - 63)) AS p FROM ts)),
+sw AS (SELECT source, p AS s_pos, hash(substr(text, p + 1, 64)) AS w FROM (SELECT source, text, unnest(range(0, length(text) - 63, 16)) AS p FROM ss)),
+dia AS (SELECT DISTINCT target, source, s_pos - t_pos AS dg0 FROM tw JOIN sw USING (w) {earlier}),
 tc AS (SELECT target, string_split(text, '') AS c FROM ts WHERE target IN (SELECT target FROM dia)),
 sc AS (SELECT source, string_split(text, '') AS c FROM ss WHERE source IN (SELECT source FROM dia)),
 pos AS (
@@ -27,13 +29,11 @@ pos AS (
 isl AS (
   SELECT target, source, dg0, min(p) AS s, max(p) + 1 AS e
   FROM (SELECT *, p - row_number() OVER (PARTITION BY target, source, dg0 ORDER BY p) AS g FROM pos) GROUP BY target, source, dg0, g),
-runs AS (
-  SELECT DISTINCT i.target, i.source AS file, i.s, i.e, i.s + i.dg0 AS src
-  FROM isl i JOIN hit h ON i.target = h.target AND i.source = h.source AND i.dg0 = h.dg0 AND h.t_pos >= i.s AND h.t_pos + 64 <= i.e)"""
+runs AS (SELECT target, source AS file, s, e, s + dg0 AS src FROM isl WHERE e - s >= 79)"""
 
 
 def runs(targets: DataFrame, target: str, docs: DataFrame, earlier: bool = False) -> DataFrame:
-    """Maximal runs that targets share with documents: target, file, s, e, src."""
+    """All maximal runs of matching.RUN characters or more that targets share with documents: target, file, s, e, src."""
     hits = matching.seeds(targets, target, docs, "doc_id", earlier=earlier)
     found = matching.extend(hits, targets, target, docs, "doc_id")
     return found.withColumnRenamed("source", "file")
@@ -156,7 +156,7 @@ def best_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_WINDOWS},
+    f"""WITH {_WINDOWS.replace("63, 64)", "63, 16)")},
 i AS (SELECT DISTINCT d.source, w.win FROM w JOIN documents d USING (doc_id)),
 b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark WHERE length(text) >= 64),
 k AS (SELECT *, n // 10 AS tenth, CASE WHEN i < n // 10 THEN 0 WHEN i >= n - n // 10 THEN 2 ELSE 1 END AS z FROM b),
@@ -171,12 +171,12 @@ SELECT source, hits, samples, round(100.0 * hits / samples, 4)::DOUBLE AS percen
   row_number() OVER (ORDER BY hits DESC, source)::INT AS rank FROM r"""
 )
 def probe_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Sources ranked by the share of sampled passages that they hold a window of."""
+    """Sources ranked by the share of sampled passages that they hold a window of; any shared run of matching.RUN characters has one."""
     docs = table(spark, d, "documents")
     items = table(spark, d, "benchmark").filter(F.length("text") >= matching.WINDOW).withColumn("all", F.lit(0))
     sample = matching.stratified(items, "all", ["item_id"]).select("item_id", "text")
     probes = matching.windows(sample, "item_id", 1).select("item_id", "hash")
-    index = matching.windows(docs, "doc_id", matching.WINDOW).join(probes.select("hash").distinct(), "hash", "left_semi")
+    index = matching.windows(docs, "doc_id", matching.WINNOW).join(probes.select("hash").distinct(), "hash", "left_semi")
     index = index.join(docs.select("doc_id", "source"), "doc_id").select("source", "hash").distinct()
     hits = probes.join(index, "hash").select("source", "item_id").distinct().groupBy("source").agg(F.count("*").alias("hits"))
     n = sample.agg(F.count("*").alias("samples"))
