@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_base
 
-def include_closure(spark: SparkSession, edges: DataFrame, root: int, depth: int = 16) -> DataFrame:
-    """Nodes that `root` reaches by edges (parent, child), with their least distance; cycles end where they close.
 
-    One recursive query; a path never returns to a node of its own.
+def include_closure(spark: SparkSession, edges: DataFrame, root: int) -> DataFrame:
+    """Nodes that `root` reaches by edges (parent, child), with their least distance, however deep.
+
+    One level after another: what the last one includes and no level before had.  Cycles and
+    shared includes end there, so the work is that of each edge once.
     """
-    edges.createOrReplaceTempView("include_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, level, path) AS (
-          SELECT {root}L, 0, array({root}L)
-          UNION ALL SELECT e.child, w.level + 1, array_append(w.path, e.child) FROM walk w JOIN include_edges e ON e.parent = w.node
-          WHERE NOT array_contains(w.path, e.child) AND w.level < {depth})
-        SELECT node, min(level) AS level FROM walk GROUP BY node"""
-    )
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
+    edges = edges.select("parent", F.col("child").alias("node")).filter("node IS NOT NULL")
+    seen = last = spark.createDataFrame([(root, 0)], "node long, level int")
+    level = 0
+    while True:
+        level += 1
+        met = edges.join(last.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct()
+        last = met.join(seen, "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        if last.isEmpty():
+            return seen
+        seen = seen.unionByName(last)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:

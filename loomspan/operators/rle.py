@@ -29,10 +29,12 @@ def with_gaps(ranges: DataFrame, key: str) -> DataFrame:
     return ranges.withColumn("gap", F.lead("file_offset").over(by) - F.col("file_offset") - F.col("size"))
 
 
-def usual_gap_and_size(ranges: DataFrame, key: str, sample: int = 10_000) -> DataFrame:
-    """The most frequent gap and size of a key's first ranges, the smaller of equals; 0 beyond 16 bits."""
-    by = Window.partitionBy(key).orderBy("file_offset")
-    r = with_gaps(ranges, key).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= sample)
+def usual_gap_and_size(ranges: DataFrame, key: str, sample: int | None = None) -> DataFrame:
+    """The most frequent gap and size of a key's ranges, the smaller of equals; 0 beyond 16 bits.  sample: of its first ranges only."""
+    r = with_gaps(ranges, key)
+    if sample:
+        by = Window.partitionBy(key).orderBy("file_offset")
+        r = r.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= sample)
 
     def mode(c: str, name: str) -> DataFrame:
         counts = r.filter(F.col(c).isNotNull()).groupBy(key, F.col(c).alias("value")).count()

@@ -12,7 +12,7 @@ from .base import PACKETS, packets, query, table
 
 @query(
     """WITH RECURSIVE e AS (SELECT n_nationkey AS parent, (n_nationkey * 7 + 3) % 25 AS child FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation),
-w AS (SELECT 0 AS node, 0 AS level, [0] AS path UNION ALL SELECT child, level + 1, list_append(path, child) FROM w JOIN e ON parent = node WHERE NOT list_contains(path, child) AND level < 8)
+w AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT child::BIGINT, level + 1 FROM w JOIN e ON parent = node WHERE level < (SELECT count(*) FROM nation))
 SELECT node::BIGINT AS node, min(level)::INT AS level FROM w GROUP BY node"""
 )
 def include_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,7 @@ def include_closure(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey").cast("long")
     t = table(spark, d, "nation")
     edges = t.select(n.alias("parent"), ((n * 7 + 3) % 25).alias("child")).union(t.select(n, (n * 3 + 1) % 25))
-    return catalog.include_closure(spark, edges, 0, 8)
+    return catalog.include_closure(spark, edges, 0)
 
 
 @query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages")

@@ -88,13 +88,13 @@ def mtime_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BATCHES = f"""{PACKETS},
-b AS (SELECT file AS track, stream AS batch, bool_or(seq = 0 AND size < 10) AS head_missed, max(CASE WHEN size > 25 THEN size END) AS tail FROM packets WHERE stream < 600 GROUP BY file, stream)"""
+b AS (SELECT file AS track, stream AS batch, bool_or(seq = 0 AND size < 10) AS head_missed, max(CASE WHEN size > 25 THEN size END) AS tail FROM packets GROUP BY file, stream)"""
 
 
 @query(f"WITH {_BATCHES}, h AS (SELECT *, last_value(CASE WHEN tail IS NOT NULL THEN batch END IGNORE NULLS) OVER w AS from_batch, last_value(tail IGNORE NULLS) OVER w AS hint FROM b WINDOW w AS (PARTITION BY track ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT track, batch, from_batch, hint FROM h WHERE head_missed AND hint IS NOT NULL")
 def edge_retry(spark: SparkSession, d: str) -> DataFrame:
     """Misses at the head of a batch, with the state of the batch before."""
-    p = packets(spark, d).filter("stream < 600").groupBy(F.col("file").alias("track"), F.col("stream").alias("batch"))
+    p = packets(spark, d).groupBy(F.col("file").alias("track"), F.col("stream").alias("batch"))
     b = p.agg(F.bool_or((F.col("seq") == 0) & (F.col("size") < 10)).alias("head_missed"), F.max(F.when(F.col("size") > 25, F.col("size"))).alias("tail"))
     return events.edge_retry(b, "track").select("track", "batch", "from_batch", "hint")
 

@@ -195,9 +195,11 @@ def delta_classification(spark: SparkSession, d: str) -> DataFrame:
     p = packets(spark, d).withColumn("wide", F.col("size") + 3)
     p = offsets.running_offsets(p, ["stream"], ["seq"], "wide", "r_s").withColumn("r_e", F.col("r_s") + F.col("size"))
     p = p.select(F.col("stream").alias("target"), "r_s", "r_e", F.when(F.col("track") == 0, "video").otherwise("audio").alias("kind"))
-    met = intervals.overlap_join(delta, p, "target", 64).select("kind", (F.least("l_e", "r_e") - F.greatest("l_s", "r_s")).alias("n"), F.lit(1).alias("c"))
-    rest = delta.select(F.lit("container").alias("kind"), (F.col("l_e") - F.col("l_s")).alias("n"), F.lit(0).alias("c"))
-    rest = rest.unionByName(met.select(F.lit("container").alias("kind"), (-F.col("n")).alias("n"), F.lit(0).alias("c")))
+    met = intervals.overlap_join(delta, p, "target", 64).select("kind", (F.least("l_e", "r_e") - F.greatest("l_s", "r_s")).alias("n"))
+    met = met.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("c"))  # a row a kind: what packets hold isn't the container's
+    own = lambda kind, n, c: F.struct(kind.alias("kind"), n.alias("n"), c.cast("long").alias("c"))
+    met = met.select(F.inline(F.array(own(F.col("kind"), F.col("n"), F.col("c")), own(F.lit("container"), -F.col("n"), F.lit(0)))))
+    rest = delta.select(F.lit("container").alias("kind"), (F.col("l_e") - F.col("l_s")).alias("n"), F.lit(0).cast("long").alias("c"))
     out = met.unionByName(rest).rollup("kind").agg(F.sum("n").alias("bytes"), F.sum("c").alias("pieces"))
     return out.select(F.coalesce("kind", F.lit("all")).alias("kind"), "bytes", "pieces")
 

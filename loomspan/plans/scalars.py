@@ -53,12 +53,12 @@ def size_buckets(spark: SparkSession, d: str) -> DataFrame:
     return tags(spark, d).groupBy(scalars.size_bucket(F.col("size")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("SELECT page_id, unnest(range(0, length(html), 2048)) AS pos, 2048 AS step FROM pages UNION ALL SELECT page_id, unnest(range(0, least(length(html), 64), 8)), 8 FROM pages")
+@query("SELECT page_id, unnest(range(0, length(html), 2048)) AS pos, 2048 AS step FROM pages UNION ALL SELECT page_id, unnest(range(0, length(html), 8)), 8 FROM pages")
 def stride_points(spark: SparkSession, d: str) -> DataFrame:
     """Fixed strides: wide for the index, narrow for the probe."""
     p = table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n")).filter("n > 0")
     at = lambda n, step: p.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long"))).alias("pos"), F.lit(step).alias("step"))
-    return at(F.col("n"), 2048).unionByName(at(F.least("n", F.lit(64).cast("long")), 8))
+    return at(F.col("n"), 2048).unionByName(at(F.col("n"), 8))
 
 
 @query(

@@ -150,10 +150,23 @@ def test_matching_finds_every_run(spark):
     got = sorted(tuple(r) for r in matching.extend(hits, items, "item_id", docs, "doc_id").collect())
     assert [g[:2] for g in got] == [(9, 1), (9, 1)]
     for _, _, s, e, src in got:
-        assert target[s:e] == base[src : src + e - s] and e - s >= 127 - 1
+        assert target[s:e] == base[src : src + e - s] and e - s >= matching.RUN
     assert (37, 357) in {(s, e) for _, _, s, e, _ in got} or any(s <= 37 and e >= 357 for _, _, s, e, _ in got)
 
 
+def test_short_runs_are_found_wherever_they_begin(spark):
+    """A run of RUN characters, at every place of its target and of its source; one shorter is no result."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = letters(matching.RUN)
+    docs = [(k, letters(k) + "<" + passage + ">" + letters(200)) for k in range(70)]
+    items = [(k, letters(3 * k) + "[" + passage + "]" + letters(90)) for k in range(0, 70, 7)] + [(1000, passage), (1001, passage[:-1])]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = matching.extend(matching.seeds(items, "item_id", docs, "doc_id"), items, "item_id", docs, "doc_id").collect()
+    assert {(r.target, r.source) for r in found} == {(t, s) for t in [*range(0, 70, 7), 1000] for s in range(70)}
+    assert all(r.e - r.s == matching.RUN for r in found)
+
+
 def test_rolling_hashes():
     import numpy as np
 
@@ -172,6 +185,9 @@ def test_catalogue(spark):
     assert got == {1: "ok", 2: "duplicate", 3: "folder", 4: "ok"}
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 0)], "parent long, child long")
     assert {(r.node, r.level) for r in catalog.include_closure(spark, edges, 0).collect()} == {(0, 0), (1, 1), (2, 2)}
+    # A chain deeper than any fixed depth, where each node is included twice.
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] * 2 + [(20, 3), (5, None)], "parent long, child long")
+    assert sorted((r.node, r.level) for r in catalog.include_closure(spark, chain, 0).collect()) == [(k, k) for k in range(21)]
 
 
 def test_bounded_batches(spark):
