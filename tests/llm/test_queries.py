@@ -61,6 +61,23 @@ def test_op1_ties_and_few(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 5, 1.0), (2, 7, 1.0)]
 
 
+def test_op1_large_and_odd(spark):
+    """Components as large as floats go, unusable vectors of another length, and rows with one id."""
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((60, 8)) * 1e38).clip(-3.4e38, 3.4e38).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (7, x[20].tolist())]
+    rows += [(200 + i, [None] * 3) for i in range(100)] + [(400 + i, [float("nan")] * 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.neighbours(spark, df, df.vec_id == 7, share=1.0).orderBy("score", "vec_id").collect()
+    usable = [(i, np.array(v, np.float64)) for i, v in rows[:62]]
+    want = []
+    for k in (7, 60, 61):
+        near = sorted((float(np.sqrt(((v - usable[k][1]) ** 2).sum())), i) for j, (i, v) in enumerate(usable) if j != k)[:10]
+        want += [(7, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(w[:3] for w in want)
+    assert np.allclose(sorted(r.score for r in got), sorted(w[3] for w in want), rtol=1e-12)
+
+
 def test_op1_bounds_hold():
     rng = np.random.default_rng(0)
     x, q = rng.standard_normal((500, 32)), rng.standard_normal((5, 32))
