@@ -105,6 +105,16 @@ def test_op2_turns_come_back(spark):
         assert r.formatted.count(chat.END) == r.formatted.count(chat.START) == runs
 
 
+def test_op2_long_conversation(spark):
+    """20,000 turns of one conversation, in about linear time, with its loss spans where they are."""
+    rng = random.Random(7)
+    rows = [(1, t, rng.choice(["user", "assistant"]), "x" * rng.randint(0, 9)) for t in range(20_000)]
+    began = time.time()
+    r = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert time.time() - began < 60
+    assert [tuple(t) for t in r.turns] == [x[2:] for x in rows] and r.learned == [x[3] for x in rows if x[2] == "assistant"]
+
+
 def test_op3(spark, folder, docs):
     want = Counter()
     for r in docs:
