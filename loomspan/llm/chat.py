@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+#: Code points of a long string that are read together, at least.
+STRETCH = 4096
 _CONTROL = r"(\\|<(?=\||/?s>)|\[(?=/?INST\]))"
 
 
@@ -79,9 +81,9 @@ def read_chats(chats: DataFrame) -> DataFrame:
     blocks = F.slice(F.split("formatted", r"<\|im_end\|>"), 1, F.size(F.split("formatted", r"<\|im_end\|>")) - 1)
     cut = F.transform(blocks, lambda b: F.split(F.substring(b, len(START) + 1, 1 << 30), r"<\|im_sep\|>"))
     turns = F.flatten(F.transform(cut, lambda p: F.transform(F.slice(p, 2, F.size(p) - 1), lambda x: F.struct(unescape(p[0]).alias("role"), unescape(x).alias("text")))))
-    # A substring is found by counting from the string's begin, so the string is cut into stretches as long as the
-    # square root of the whole, and a span is read from those that it touches.
-    wide = F.ceil(F.sqrt(F.length("formatted").cast("double"))).cast("int")
+    # A substring is found by counting from the string's begin, so a long string is cut into stretches, as long as the
+    # square root of the whole at least, and a span is read from those that it touches.
+    wide = F.greatest(F.lit(STRETCH), F.ceil(F.sqrt(F.length("formatted").cast("double"))).cast("int"))
     stretches = F.transform(F.sequence(F.lit(0), F.floor((F.length("formatted") - 1) / wide).cast("int")), lambda k: F.col("formatted").substr(k * wide + 1, wide))
     cut_up = chats.select("*", turns.alias("turns"), wide.alias("wide"), stretches.alias("stretches"))
     first = lambda s: F.floor(s["start"] / F.col("wide")).cast("int")
