@@ -11,7 +11,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2000
+BATCH_ROWS = 800
 
 
 def prepare(spark: SparkSession) -> None:
