@@ -32,7 +32,7 @@ from .common import arrow_pass, portions, schema_with
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 3000
 HIDDEN, EMBED, STEPS, BATCH, LENGTH, RATE = 24, 16, 300, 96, 48, 0.01
-STRIDE, CONTEXT, TOGETHER = 464, 24, 512
+STRIDE, CONTEXT, TOGETHER = 464, 24, 256
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 

@@ -38,9 +38,9 @@ _TWICE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
 _WIDE = re.compile("[\x85\xa0  -     　] ")
 
 #: Pieces that a generation of a cache holds at most, likewise where words have a cache of their own, and characters of a piece that is kept at most.
-CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 200_000, 30_000, 48
+CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 130_000, 20_000, 48
 #: Characters that are encoded together, about.
-PORTION = 4_000_000
+PORTION = 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
