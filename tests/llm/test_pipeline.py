@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
-from loomspan.llm import pii, queries
+from loomspan.llm import jaccard, pii, queries
 
 from .test_queries import brute_ids, check_packing, crc
 
@@ -55,8 +55,10 @@ def test_stages_take_nothing(spark, nothing, name, stage):
     assert stage(spark, spark.read.parquet(f"{nothing}/documents.parquet"), nothing).count() == 0
 
 
-def test_near_copies_go(spark):
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_near_copies_go(spark, monkeypatch, sent):
     """Planted pairs of 5-word Jaccard 0.8 to 0.95 lose one document, pairs under 0.8 none."""
+    monkeypatch.setattr(jaccard, "SENT", sent)
     rng, rows, want = random.Random(4), [], {}
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
