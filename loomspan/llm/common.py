@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import prepare, shared_base
+from ..session import prepare, save, shared_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's process ends."""
-    path = f"{shared_base(spark)}/loomspan-{label}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended already
-            pass
-
-    atexit.register(drop)
-    return path
-
-
-def save(spark: SparkSession, df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it: lineage ends there."""
-    path = shared_path(spark, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def schema_with(df: DataFrame, more: str) -> T.StructType:
     """The schema of df and the columns of `more` after it; names may hold anything."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import intervals, matching
+from ..operators import earlier, intervals, matching
 from .base import query, sql_complement, sql_merge, table
 
 
@@ -32,9 +32,9 @@ isl AS (
 runs AS (SELECT target, source AS file, s, e, s + dg0 AS src FROM isl WHERE e - s >= 79)"""
 
 
-def runs(targets: DataFrame, target: str, docs: DataFrame, earlier: bool = False) -> DataFrame:
+def runs(targets: DataFrame, target: str, docs: DataFrame) -> DataFrame:
     """All maximal runs of matching.RUN characters or more that targets share with documents: target, file, s, e, src."""
-    hits = matching.seeds(targets, target, docs, "doc_id", earlier=earlier)
+    hits = matching.seeds(targets, target, docs, "doc_id")
     found = matching.extend(hits, targets, target, docs, "doc_id")
     return found.withColumnRenamed("source", "file")
 
@@ -67,7 +67,8 @@ sizes AS (SELECT doc_id AS target, length(text)::BIGINT AS size FROM documents),
 def document_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every document as ranges of earlier documents and a remainder."""
     docs = table(spark, d, "documents")
-    return entries(runs(docs, "doc_id", docs, earlier=True), docs, "doc_id")
+    found = earlier.earlier_runs(spark, docs, "doc_id").withColumnRenamed("source", "file")
+    return entries(found, docs, "doc_id")
 
 
 @query(

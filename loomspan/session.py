@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -41,3 +43,30 @@ def shared_base(spark: SparkSession) -> str:
     base = "file://" + tempfile.mkdtemp(prefix="loomspan-shared-")
     spark.sparkContext.setCheckpointDir(base)
     return base
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_base(spark)}/loomspan-{label}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended already
+            pass
+
+    atexit.register(drop)
+    return path
+
+
+def save(spark: SparkSession, df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it: lineage ends there."""
+    path = shared_path(spark, label)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,8 @@ import random
 
 import pytest
 from loomspan.functions import scalars, syncpoints
-from loomspan.operators import catalog, events, intervals, matching, offsets, rle
+from loomspan.operators import catalog, earlier, events, intervals, matching, offsets, rle
+from loomspan.plans import matching as plans_matching
 from pyspark.sql import functions as F
 
 REGION = "target int, s long, e long, file long, src long"
@@ -236,3 +237,27 @@ def test_checksums(spark):
     assert got == {f"f{k}": f"{xxhash.xxh64_intdigest(b''.join(bytes(b) for f, _, b in rows if f == f'f{k}')):016x}" for k in range(3)}
     signed = spark.createDataFrame([("abc",)], "s string").select(checksums.xxh64("s").alias("x")).first().x
     assert signed == 4952883123889572249
+
+
+def test_earlier_runs_without_all_pairs(spark):
+    """Entries are those of all pairs of texts, from runs in proportion to the texts that have a common line."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh 日𝒳\n", k=n))
+    line, passage = letters(120), letters(900)
+    texts = [letters(rng.randint(0, 30)) + line + letters(rng.randint(0, 60)) for _ in range(300)]
+    texts += [letters(rng.choice([0, 3, 50])) + passage[rng.randint(0, 300) : rng.randint(500, 900)] + letters(40) for _ in range(60)]
+    long = letters(7000)
+    near = [long[:k] + "#" + long[k + 1 :] for k in (0, 39, 40, 3000, 6999)]
+    texts += [long, long, *near, near[3], long[:200], long[1000:], line, line * 3, line + line[:-1], line[:79], line[:78], passage + line + long]
+    texts += [None, "", "x" * 500, "x" * 90 + "\0\0", "y" + "x" * 300, "ab" * 200, "b" + "ab" * 100, "\0" * 100, "z" + "\0" * 120]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = earlier.earlier_runs(spark, docs, "doc_id").withColumnRenamed("source", "file").persist()
+    pairs = matching.extend(matching.seeds(docs, "doc_id", docs, "doc_id", earlier=True), docs, "doc_id", docs, "doc_id")
+    want, got = ([tuple(r) for r in plans_matching.entries(f, docs, "doc_id").collect()] for f in (pairs.withColumnRenamed("source", "file"), found))
+    assert sorted(got) == sorted(want)
+    common = {k for k, t in enumerate(texts) if t and line in t and len(t) < 220}
+    assert len(common) > 300 and found.filter(F.col("target").isin(common)).count() < 20 * len(common)
+    for r in found.collect():
+        assert r.file < r.target and r.e - r.s >= matching.RUN and texts[r.target][r.s : r.e] == texts[r.file][r.src : r.src + r.e - r.s]
+    found.unpersist()
