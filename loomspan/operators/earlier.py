@@ -18,6 +18,9 @@ differ at the same character in the same way go on among themselves with the fir
 which is the next source with a longer run.  So a place is compared once for each source that
 it may need, however many have the window, and not with each other place.
 
+Copies.  A text that is there already under a smaller id is no source, and only its begin is a
+target.  Places of a bucket with the same characters around them are searched as one.
+
 Long runs.  Texts travel in pieces: OWN characters from the window on, then FOLD times as far
 for places that still agree with those of another text, until none does.  Every comparison is
 one of characters; hashes only bring places together.
@@ -66,14 +69,18 @@ def dense(hashes: np.ndarray, winnow: int = REACH) -> np.ndarray:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """docs (doc, text) -> doc, pos, hash of the chosen windows, and of the REACH characters before them (0 where there are fewer)."""
+    """docs (doc, text, copy) -> doc, pos, hash of the chosen windows, and of the REACH characters before them (0 where there are fewer).
+
+    Of a copy, only windows that a run from its begin has: that with the first such text ends last, and has all others.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, out = [], []
-            for t in batch["text"].to_pylist():
-                h = rolling_hashes(_code_points(t or ""), WINDOW)
+            for t, copy in zip(batch["text"].to_pylist(), batch["copy"].to_pylist(), strict=True):
+                h = rolling_hashes(_code_points(t[: 3 * REACH] if copy else t), WINDOW)
                 at = dense(h)
+                at = at[at < REACH] if copy else at
                 counts.append(len(at))
                 out.append((at, h[at], np.where(at >= REACH, h[np.maximum(at - REACH, 0)], 0).astype(np.uint64)))
             if sum(counts):
@@ -104,32 +111,58 @@ def _contexts(docs: DataFrame, places: DataFrame, start: int, size: int, few: bo
 
 
 def _points(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), -1)
-
-
-def search(doc: np.ndarray, pos: np.ndarray, before: list[str], own: list[str], more: np.ndarray, start: int, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A bucket's places in order -> its runs that end within `own` (target, source, s, e, src), and classes of places that agree beyond."""
+    """A row of code points a text, all of one size, in bytes where they fit."""
+    whole = "".join(texts)
+    try:
+        raw = np.frombuffer(whole.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        raw = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    return raw.reshape(len(texts), -1)
+
+
+def search(doc: np.ndarray, pos: np.ndarray, kind: np.ndarray, kinds: list[tuple[str, str, bool]], start: int, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A bucket's places in order -> its runs that end within a piece (target, source, s, e, src), and classes of places that agree beyond.
+
+    kind: of each place, numbered as they come; kinds: characters before the window, its piece, whether more follow.  The
+    first place of a kind is the source of all that may take one of them.  What it takes is of no use to places of
+    later texts: those share more with the first itself, from further before, unless the text begins there.
+    """
+    before, own, more = [k[0] for k in kinds], [k[1] for k in kinds], np.array([k[2] for k in kinds])
     right, left = _points([t.ljust(size, "\0") for t in own]), _points([t.rjust(REACH, "\0") for t in before])[:, ::-1]
     ends, edges = np.array([len(t) for t in own]), np.array([len(t) for t in before])
+    members = np.argsort(kind, kind="stable")
+    counts = np.bincount(kind)
+    starts = np.cumsum(counts) - counts
+    first, last = doc[members[starts]], doc[members[starts + counts - 1]]
+    place = pos[members[starts]]
+    most = np.where(edges < REACH, last, first)  # the last text that takes sources of other kinds
     found: list[tuple[np.ndarray, ...]] = []
 
+    def taken(x: np.ndarray, y: int, back: int, agree: np.ndarray) -> None:
+        """Runs of kinds x with the first place of kind y."""
+        n = counts[x]
+        at = members[np.repeat(starts[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        x, agree = np.repeat(x, n), np.repeat(agree, n)
+        fit = (doc[at] > first[y]) & (doc[at] <= most[x])
+        at, agree = at[fit], agree[fit]
+        found.append((at, pos[at] - back, np.full(len(at), first[y]), np.full(len(at), place[y] - back), pos[at] + start + agree))
+
     def sources(idx: np.ndarray, back: int, symbol: np.ndarray) -> None:
         """Runs that begin `back` characters before the windows; symbol: what is before that."""
         todo = [(idx, 0)]
         while todo:
             idx, depth = todo.pop()
             y, rest = idx[0], idx[1:]
-            if doc[rest[-1]] == doc[y]:
+            if most[rest].max() <= first[y]:
                 continue
             differs = right[rest, depth:] != right[y, depth:]
             at = differs.argmax(axis=1)
             agree = np.where(differs[np.arange(len(rest)), at], depth + at, size)
             agree = np.minimum(agree, np.minimum(ends[rest], ends[y]))
             ended = (agree < size) | ~more[rest] | ~more[y]
-            hit = ended & (doc[rest] > doc[y]) & (symbol[rest] != symbol[y]) & (back + start + agree >= RUN)
+            hit = ended & (most[rest] > first[y]) & (symbol[rest] != symbol[y]) & (back + start + agree >= RUN)
             if hit.any():
-                x, e = rest[hit], pos[rest[hit]] + start + agree[hit]
-                found.append((x, pos[x] - back, np.full(len(x), doc[y]), np.full(len(x), pos[y] - back), e))
+                taken(rest[hit], y, back, agree[hit])
             on = agree < ends[rest]
             rest, agree = rest[on], agree[on]
             if len(rest) > 1:
@@ -138,10 +171,10 @@ def search(doc: np.ndarray, pos: np.ndarray, before: list[str], own: list[str],
                 cuts = np.flatnonzero(np.diff(key[order])) + 1
                 todo += [(rest[g], int(agree[g[0]])) for g in np.split(order, cuts) if len(g) > 1]
 
-    todo = [(np.arange(len(doc)), 0)]
+    todo = [(np.arange(len(kinds)), 0)] if len(kinds) > 1 else []
     while todo:
         idx, back = todo.pop()
-        if doc[idx[0]] == doc[idx[-1]]:
+        if most[idx].max() <= first[idx[0]]:
             continue
         varies = (left[idx, back:] != left[idx[0], back:]).any(axis=0)
         back = min(back + int(varies.argmax()) if varies.any() else REACH, int(edges[idx].min()))
@@ -154,19 +187,25 @@ def search(doc: np.ndarray, pos: np.ndarray, before: list[str], own: list[str],
         order = np.argsort(symbol[idx], kind="stable")
         cuts = np.flatnonzero(np.diff(symbol[idx][order])) + 1
         todo += [(idx[g], back + 1) for g in np.split(order, cuts) if len(g) > 1]
+    for x in np.flatnonzero((edges < REACH) & ~more & (last > first) & (edges + start + ends >= RUN)):
+        taken(np.array([x]), x, int(edges[x]), ends[x : x + 1])
 
     runs = [np.empty(0, np.int64)] * 5
     if found:
         x, s, f, src, e = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((src, f, s, x))
         x, s, f, src, e = (c[order] for c in (x, s, f, src, e))
-        high = np.maximum.accumulate(e + x * (int(e.max()) + 1))  # of a place, by its order
-        keep = np.concatenate([[True], (x[1:] != x[:-1]) | (high[1:] > high[:-1])])
-        runs = [doc[x][keep], f[keep], s[keep], e[keep], src[keep]]
+        if len(x):
+            high = np.maximum.accumulate(e + x * (int(e.max()) + 1))  # of a place, by its order
+            keep = np.concatenate([[True], (x[1:] != x[:-1]) | (high[1:] > high[:-1])])
+            runs = [doc[x][keep], f[keep], s[keep], e[keep], src[keep]]
     classes: dict[str, list[int]] = {}
-    for i in np.flatnonzero(more):
-        classes.setdefault(own[i], []).append(int(i))
-    beyond = [np.array(g) for g in classes.values() if doc[g[0]] != doc[g[-1]] and (len({before[i] for i in g}) > 1 or len(before[g[0]]) < REACH)]
+    for k in np.flatnonzero(more):
+        classes.setdefault(own[k], []).append(int(k))
+    beyond = []
+    for of in classes.values():
+        if (len(of) > 1 or edges[of[0]] < REACH) and last[of].max() > first[of[0]]:
+            beyond.append(np.sort(np.concatenate([members[starts[k] : starts[k] + counts[k]] for k in of])))
     return runs, beyond
 
 
@@ -176,12 +215,12 @@ def _searched(contexts: DataFrame, start: int, size: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        kinds: dict[tuple[str, str, bool], int] = {}
 
         def close() -> None:
-            doc, pos, more = (np.concatenate([h[c] for h in held]) for c in (0, 1, 4))
-            before, own = ([t for h in held for t in h[c]] for c in (2, 3))
-            runs, beyond = search(doc, pos, before, own, more, start, size)
+            doc, pos, kind = (np.concatenate(c) for c in zip(*held, strict=True))
+            runs, beyond = search(doc, pos, kind, list(kinds), start, size)
             none = np.zeros(len(runs[0]), bool)
             out.append([*runs, none])
             for g in beyond:
@@ -197,14 +236,14 @@ def _searched(contexts: DataFrame, start: int, size: int) -> DataFrame:
         key = None
         for batch in batches:
             k1, k2, doc, pos = (batch[c].to_numpy() for c in ("k1", "k2", "doc", "pos"))
-            before, own, more = batch["before"].to_pylist(), batch["own"].to_pylist(), batch["more"].to_numpy(zero_copy_only=False)
+            said = list(zip(*[batch[c].to_pylist() for c in ("before", "own", "more")], strict=True))
             cuts = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(k1)], strict=True):
                 if (k1[a], k2[a]) != key:
                     if held:
                         close()
-                    held, key = [], (k1[a], k2[a])
-                held.append((doc[a:b].copy(), pos[a:b].copy(), before[a:b], own[a:b], more[a:b]))
+                    held, kinds, key = [], {}, (k1[a], k2[a])
+                held.append((doc[a:b].copy(), pos[a:b].copy(), np.array([kinds.setdefault(x, len(kinds)) for x in said[a:b]])))
             if len(out) > 200:
                 yield from written()
         if held:
@@ -218,15 +257,17 @@ def _searched(contexts: DataFrame, start: int, size: int) -> DataFrame:
 def earlier_runs(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     """docs (key, text) -> runs (target, source, s, e, src) with texts of smaller keys, all that merge_regions() keeps among them."""
     prepare(spark)
-    docs = docs.select(F.col(key).alias("doc"), "text").filter("doc IS NOT NULL")
+    docs = docs.select(F.col(key).alias("doc"), "text").filter("doc IS NOT NULL AND text IS NOT NULL")
+    same = docs.select("doc", F.sha2("text", 256).alias("digest")).withColumn("least", F.min("doc").over(Window.partitionBy("digest")))
+    copies = save(spark, same.filter("doc <> least").select("doc", F.lit(True).alias("copy")), "earlier-copies")
+    marked = docs.join(F.broadcast(copies) if copies.count() <= SENT else copies, "doc", "left").select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
     # A begin of a text is like no other.
     before = F.when(F.col("pos") < REACH, F.xxhash64("doc", "pos")).otherwise(F.col("before"))
-    rows, by = _windows(docs).withColumn("before", before), Window.partitionBy("hash")
+    rows, by = _windows(marked).withColumn("before", before), Window.partitionBy("hash")
     for c in ("before", "doc"):
         rows = rows.withColumn(f"{c}_0", F.min(c).over(by)).withColumn(f"{c}_1", F.max(c).over(by))
     rows = rows.filter("before_0 <> before_1 AND doc_0 <> doc_1")
     places = save(spark, rows.select("doc", "pos", F.col("hash").alias("k1"), F.lit(0).cast("long").alias("k2")), "earlier-places")
-    docs = docs.filter("text IS NOT NULL")
     found, start, size = spark.createDataFrame([], _FOUND), 0, OWN
     while n := places.count():
         out = save(spark, _searched(_contexts(docs, places, start, size, n <= SENT), start, size), "earlier-runs")
