@@ -4,7 +4,10 @@ Two texts link if their sets of shingles of `width` words (as in simhash: ASCII
 cut at white space; a text of fewer words is one shingle) share NEAR or more of their union.
 A component has all that links reach.
 
-Candidates.  MinHash: of each of BANDS * ROWS permutations of the shingles' XXH64, a text has
+Candidates.  SimHash, as in simhash over the same shingles, repeats counted: texts whose
+fingerprints reach each other by links of MOST bits or fewer, which the pigeonring search
+finds, meet in a bucket.  Pairs near 0.8 differ in 5 to 10 bits, so most need more.
+MinHash beside it: of each of BANDS * ROWS permutations of the shingles' XXH64, a text has
 the smallest; texts that agree on all ROWS of a band meet in a bucket.  A pair of similarity
 s meets in none with probability (1 - s**ROWS)**BANDS: 5e-8 at 0.8, and less above.  Meeting
 is no link: in a bucket every link is checked on the whole sets, in whole numbers.
@@ -33,10 +36,13 @@ from xxhash import xxh64_intdigest
 
 from .common import arrow_pass, in_arrow, portions, save
 from .components import components
-from .simhash import _shingles
+from .simhash import _shingles, hashes_fingerprints
+from .simhash import linked as fingerprint_links
 
 NEAR = (4, 5)  # 0.8, as a fraction
 BANDS, ROWS, BLOCK = 32, 4, 2048
+#: Differing bits by which fingerprints link at most.
+MOST = 4
 #: Hashes of eight bytes that a broadcast holds at most.
 SENT = 1_000_000
 _rng = np.random.default_rng(11)
@@ -72,21 +78,24 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """docs (doc_id, h, text) -> doc_id, h, cls and the keys of its buckets."""
+    """docs (doc_id, h, text) -> doc_id, h, cls, fingerprint and the keys of its buckets by MinHash."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, cls, keys, ends = [t or "" for t in batch["text"].to_pylist()], [], [], [0]
+        texts, cls, fps, keys, ends = [t or "" for t in batch["text"].to_pylist()], [], [], [], [0]
         for a, b in portions(texts):
-            sets = shingle_sets(texts[a:b], width)
+            every = [np.array(_shingles(t, width), np.uint64) for t in texts[a:b]]
+            fps.append(hashes_fingerprints(every))
+            sets = [np.unique(x) for x in every]
             cls += [set_class(s) for s in sets]
             ends += list(ends[-1] + np.cumsum([BANDS * (len(s) > 0) for s in sets]))
             if full := [s for s in sets if len(s)]:
                 keys.append(band_keys(full).ravel())
         held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(cls, pa.int64()), held], names=["doc_id", "h", "cls", "keys"])
+        fp = pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(cls, pa.int64()), fp, held], names=["doc_id", "h", "cls", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_pass(docs.select("doc_id", "h", "text"), each, f"doc_id {kind}, h long, cls long, keys array<long>")
+    return arrow_pass(docs.select("doc_id", "h", "text"), each, f"doc_id {kind}, h long, cls long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -126,10 +135,20 @@ def forest(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+def similar(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """classes (cls, h, fp) -> cls, h, key: buckets of the classes whose fingerprints reach each other."""
+    classes = save(spark, classes, "jaccard-classes")
+    prints = save(spark, classes.select("fp").distinct(), "jaccard-fingerprints")
+    roots = components(spark, save(spark, fingerprint_links(spark, prints, MOST), "jaccard-similar"))
+    held = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return held.select("cls", "h", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+
+
 def linked(spark: SparkSession, docs: DataFrame, prints: DataFrame, width: int) -> DataFrame:
     """docs (h, text) and their prints -> a, b: links of spanning forests of classes."""
-    classes = prints.groupBy("cls").agg(F.min(F.struct("h", "keys")).alias("k")).select("cls", "k.h", F.explode("k.keys").alias("key"))
-    rows = save(spark, classes, "jaccard-rows")
+    classes = prints.filter(F.size("keys") > 0).groupBy("cls").agg(F.min(F.struct("h", "fp", "keys")).alias("k")).select("cls", "k.h", "k.fp", "k.keys")
+    rows = classes.select("cls", "h", F.explode("keys").alias("key"))
+    rows = save(spark, rows.unionByName(similar(spark, classes.select("cls", "h", "fp"))), "jaccard-rows")
     # Buckets of the same members (by their number and 128 bits of them) are searched once.
     members = [F.bit_xor(F.xxhash64("cls", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
     shared = rows.groupBy("key").agg(F.count("*").alias("count"), *members).filter("count > 1")

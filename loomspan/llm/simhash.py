@@ -55,23 +55,16 @@ def _shingles(text: str, width: int) -> list[int]:
     return [xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :], strict=False)]
 
 
-def fingerprint_all(texts: list[str], width: int) -> np.ndarray:
-    """Fingerprints, unsigned."""
-    out = np.zeros(len(texts), np.uint64)
-    hashes, starts, blocks, owner, count = [], 0, [], [], []
-    for i, t in enumerate(texts):
-        own = _shingles(t, width)
-        if own:
-            blocks.append(np.arange(starts, starts + len(own), 255))
-            owner.append(i)
-            count.append(len(own))
-            hashes += own
-            starts += len(own)
-    if not owner:
+def hashes_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints, unsigned, of each text's hashes, repeats among them."""
+    out = np.zeros(len(sets), np.uint64)
+    owner = np.flatnonzero([len(s) for s in sets])
+    if not len(owner):
         return out
-    h = np.array(hashes, np.uint64)
+    h, count = np.concatenate([sets[i] for i in owner]), np.array([len(sets[i]) for i in owner])
+    blocks = [np.arange(a, a + n, 255) for a, n in zip(np.cumsum(count) - count, count, strict=True)]
     first = np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])
-    at, need = np.concatenate(blocks), np.array(count) // 2
+    at, need = np.concatenate(blocks), count // 2
     for shift in range(8):
         # Eight counters of a byte each; a block has at most 255 hashes.
         lanes = np.add.reduceat((h >> np.uint64(shift)) & _LANES, at)
@@ -82,6 +75,11 @@ def fingerprint_all(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
+def fingerprint_all(texts: list[str], width: int) -> np.ndarray:
+    """Fingerprints, unsigned."""
+    return hashes_fingerprints([np.array(_shingles(t, width), np.uint64) for t in texts])
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """docs with text -> their other columns and fp, the fingerprint as a signed long."""
     columns = [c for c in docs.columns if c not in ("text", "fp")]

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from loomspan.llm import jaccard, pii, queries
 
@@ -73,3 +74,16 @@ def test_near_copies_go(spark, monkeypatch, sent):
     assert 30 < sum(want.values()) < 90
     kept = {r.doc_id for r in cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert kept == {d for d, _ in rows if d % 2 == 0 or want[d]}
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Where no MinHash bucket is shared, SimHash still brings near copies together; the exact check follows it."""
+    monkeypatch.setattr(jaccard, "band_keys", lambda sets: np.arange(len(sets) * jaccard.BANDS).reshape(-1, jaccard.BANDS) + np.array([[int(s[0] >> np.uint64(20))] for s in sets]))
+    rng, rows = random.Random(6), []
+    for i in range(20):
+        own = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2500)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(["new", *own]))]
+    rows += [(100, ""), (101, None), (102, "a b c"), (103, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()}
+    assert {*range(0, 40, 2), 100, 102, 103} <= kept and len(kept & set(range(1, 40, 2))) <= 4
