@@ -5,19 +5,19 @@ fail their check being dropped: email, ip (parts up to 255), card (14 to 19 digi
 Luhn) and phone (10 to 15 digits after a plus sign).  They always stay.
 
 The network adds spans of the same kinds in other spellings (phones without a plus sign,
-cards with dots, addresses in brackets or spelt out).  It reads windows of WINDOW characters
-every STRIDE and labels each character B or I of a kind, or O, under CRF transitions.  It is
-trained in numpy on labelled spans: base spans of a bounded sample of the corpus (SAMPLE_DOCS
+cards with dots, addresses in brackets or spelt out).  It labels each character B or I of a
+kind, or O, under CRF transitions.  It is trained in numpy on windows of WINDOW characters
+with labelled spans: base spans of a bounded sample of the corpus (SAMPLE_DOCS
 documents chosen by a hash) in their context, and generated spellings put into other
 stretches of it.  Its labels decide; a span is dropped only if it lacks what any spelling of
 its kind has (plausible()): the number of digits, parts up to 255, Luhn, an at sign.
 
-A span must hold a digit, an at sign or a spelt-out dot, so a window without one has no span,
-and only the others are run; no text is skipped otherwise.  Overlapping windows are decoded
-one by one and reconciled over the whole document: a span that a window's inner edge cuts is
-joined to what the next window cuts of it and run again in a wider window, until both its
-ends lie inside, however long it is; the rest are taken by score (mean log-odds of their
-labels), then length, then place, unless they touch a base span or one taken before.
+Every character of every text is run, in windows of WIDE characters that share LAP with the
+next.  They are decoded one by one and reconciled over the whole document: a span that a
+window's inner edge cuts is joined to what the next window cuts of it and run again in a
+wider window, until both its ends lie inside, however long it is; the rest are taken by score
+(mean log-odds of their labels), then length, then place, unless they touch a base span or
+one taken before.
 
 Null text is an empty text without spans.  Runs of digits of any length take linear time.
 Repeated rows each give theirs.  An empty table gives no rows.  find() drops other columns,
@@ -41,6 +41,7 @@ from .common import arrow_pass
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])  # 1 + 2 k is B of kind k, 2 + 2 k is I
 WINDOW, STRIDE, EDGE = 64, 32, 3
+WIDE, LAP, ROWS = 1024, 64, 128
 SAMPLE_DOCS, EXAMPLES, HIDDEN, EMBED, STEPS, BATCH, RATE = 600, 6000, 24, 12, 650, 64, 0.012
 
 #: Fixed patterns of the base.
@@ -50,7 +51,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # what starts within a r
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile("[0-9@]")
-#: Where an item may be: those, and a full stop that is spelt out.
+#: What examples of plain text are free of: those, and a full stop that is spelt out.
 _HINT = re.compile(r"[0-9@]|[ \[(]dot[ \])]")
 
 Span = tuple[int, int, int]  # start, end, kind
@@ -181,10 +182,33 @@ class Tagger:
             state = np.multiply(o, flat, out=out[t])
         return out
 
+    def _states(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_run() of both ways at once: a step's state, embedding and a 1 are one matrix, so its gates are one product."""
+        h, (n, b), kind = HIDDEN, x.shape, self.w["embed"].dtype
+        all_in = np.stack([np.concatenate([self.w[f"{p}_{way}"] for p in ("own", "in", "gate")], axis=1) for way in "fb"])
+        all_in[:, : 3 * h] *= kind.type(0.5)  # a sigmoid is a tanh of half its argument
+        held = np.empty((2, n + 1, h + EMBED + 1, b), kind)
+        held[0, :n, h:-1] = np.ascontiguousarray(self.w["embed"].T)[:, x].transpose(1, 0, 2)
+        held[1, :n, h:-1] = held[0, :n, h:-1][::-1]
+        held[:, :, -1], held[:, 0, :h] = 1, 0
+        a, cell = np.empty((2, 4 * h, b), kind), np.zeros((2, h, b), kind)
+        gates, i, f, o, g, new = a[:, : 3 * h], a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h :], np.empty_like(cell)
+        for t in range(n):
+            np.tanh(np.matmul(all_in, held[:, t], out=a), out=a)
+            gates *= kind.type(0.5)
+            gates += kind.type(0.5)
+            cell *= f
+            cell += np.multiply(i, g, out=new)
+            np.multiply(o, np.tanh(cell, out=new), out=held[:, t + 1, :h])
+        return held[0, 1:, :h], held[1, 1:, :h][::-1]
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """x (time, batch) symbols -> (time, tag, batch)."""
-        h = HIDDEN
-        return np.matmul(self.w["out"][:, :h], self._run(x, "f")) + np.matmul(self.w["out"][:, h:], self._run(x, "b")) + self.w["bias"]
+        forth, back = self._states(x)
+        out = np.matmul(self.w["out"][:, :HIDDEN], forth)
+        out += np.matmul(self.w["out"][:, HIDDEN:], back)
+        out += self.w["bias"]
+        return out
 
     def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Of tags (time, tag, batch), of transitions summed over time and batch, and the log of the partition function, summed."""
@@ -252,18 +276,22 @@ class Tagger:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """x (batch, time) -> best tags, and each position's score of its tag over O."""
         e = self.emissions(np.ascontiguousarray(x.T))
-        move = (self.w["move"] + self.rule)[:, :, None]
+        move = self.w["move"] + self.rule
         n, k, b = e.shape
-        best, came = e[0], np.empty((n, k, b), np.int8)
+        best, every, plain = np.empty_like(e), np.empty((k, k, b), e.dtype), e[0, 0].copy()
+        best[0] = e[0]
         for t in range(1, n):
-            every = best[:, None] + move
-            came[t] = every.argmax(axis=0)
-            best = every.max(axis=0) + e[t]
-        tags = np.empty((n, b), np.int64)
-        tags[-1] = best.argmax(axis=0)
+            np.max(np.add(best[t - 1][:, None], move[:, :, None], out=every), axis=0, out=best[t])
+            best[t] += e[t]
+            plain += move[0, 0]
+            plain += e[t, 0]
+        tags, score = np.zeros((n, b), np.int64), np.zeros((n, b), e.dtype)
+        own = np.flatnonzero(best[-1].max(axis=0) != plain)  # the others' best is O throughout
+        best, e, came = best[:, :, own], e[:, :, own], np.empty((n, len(own)), np.int64)
+        came[-1] = best[-1].argmax(axis=0)
         for t in range(n - 1, 0, -1):
-            tags[t - 1] = came[t][tags[t], np.arange(b)]
-        score = np.take_along_axis(e, tags[:, None], 1)[:, 0] - e[:, 0]
+            came[t - 1] = (best[t - 1] + move[:, came[t]]).argmax(axis=0)
+        tags[:, own], score[:, own] = came, np.take_along_axis(e, came[:, None], 1)[:, 0] - e[:, 0]
         return tags.T, score.T
 
 
@@ -371,12 +399,8 @@ def plausible(text: str, start: int, end: int, kind: int) -> bool:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that hold an anchor."""
-    last, out = max(0, -(-(len(text) - WINDOW) // STRIDE)), set()
-    for m in _HINT.finditer(text):
-        k = m.start() // STRIDE
-        out |= {min(k, last), min(max(0, k - 1), last)}
-    return [k * STRIDE for k in sorted(out)]
+    """Starts of windows that have all of the text."""
+    return list(range(0, max(1, len(text) - LAP), WIDE - LAP)) if text else []
 
 
 Place = tuple[int, int, Span | None]  # text, a window's start, the cut span that it is run for
@@ -384,10 +408,12 @@ Place = tuple[int, int, Span | None]  # text, a window's start, the cut span tha
 
 def _labels(tagger: Tagger, texts: list[str], places: list[Place], width: int) -> Iterator[tuple[int, Span, float, bool]]:
     """text, labelled span, its score, and whether an inner edge cuts it; of windows run for a span, those that touch it."""
-    most = max(1, 512 * WINDOW // width)
+    most = max(1, ROWS * WIDE // width)
+    size = lambda place: min(width, len(texts[place[0]]) - place[1])
+    places = sorted(places, key=size)  # so that few are padded
     for c in range(0, len(places), most):
         own = places[c : c + most]
-        x = np.full((len(own), width), PADDING)
+        x = np.full((len(own), size(own[-1])), PADDING)
         for r, (i, a, _) in enumerate(own):
             s = encode(texts[i][a : a + width])
             x[r, : len(s)] = s
@@ -441,7 +467,7 @@ def add_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[
     """Base spans and those that the tagger adds, by start, then kind."""
     found: dict[int, dict[Span, float]] = {}
     whole: dict[int, list[Span]] = {i: list(b) for i, b in enumerate(base)}
-    todo: dict[int, list[Place]] = {WINDOW: [(i, a, None) for i, t in enumerate(texts) for a in windows(t)]}
+    todo: dict[int, list[Place]] = {WIDE: [(i, a, None) for i, t in enumerate(texts) for a in windows(t)]}
     while todo:
         cuts: dict[int, list[Span]] = {}
         for width, places in todo.items():

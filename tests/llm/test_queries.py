@@ -294,6 +294,55 @@ def test_op4_cut_spans_are_run_in_wider_windows_only_once():
     assert tagger.seen < 12 * len(text)
 
 
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 1023, 1024, 1025, 1984, 5000])
+def test_op4_reads_every_character(size):
+    """Windows have all of a text, whatever it holds, and what lies where two of them meet is in both."""
+    class Labels:
+        seen = Counter()
+        def decode(self, x):
+            self.seen.update(x[x != pii.PADDING].tolist())
+            return np.zeros(x.shape, np.int64), np.zeros(x.shape)
+    text = ("plain words that hold nothing " * 200)[:size]
+    pii.add_spans(Labels(), [text, ""], [[], []])
+    assert not Counter(pii.encode(text).tolist()) - Labels.seen
+    at = pii.windows(text)
+    assert at[0] == 0 and at[-1] + pii.WIDE >= size and all(b + pii.LAP <= a + pii.WIDE for a, b in zip(at, at[1:], strict=False))
+    assert pii.windows("") == []
+
+
+def test_op4_takes_what_has_no_digit_and_no_sign():
+    """A spelling without a digit, an at sign or a spelt-out dot is the network's to decide."""
+    class Labels:
+        def decode(self, x):
+            own = ~np.isin(x, [*pii.encode("q"), pii.PADDING])
+            tags = np.where(own, 2, 0)
+            tags[:, 1:][own[:, 1:] & ~own[:, :-1]] = 1
+            return tags, np.ones(x.shape)
+    text = "q" * 200 + " name at mail.example.com " + "q" * 200
+    assert pii.add_spans(Labels(), [text], [[]])[0] == [(201, 225, 0)]
+
+
+def test_op4_decodes_as_step_by_step():
+    """Best tags against a plain search, for emissions that give O throughout and others."""
+    rng, t = np.random.default_rng(5), pii.Tagger()
+    for spread in (0.05, 2):
+        e = rng.normal(0, spread, (30, len(pii.TAGS), 40)).astype(np.float32)
+        e[:, 0] += 1
+        t.emissions = lambda x: e  # noqa: B023
+        tags, score = t.decode(np.zeros((40, 30), np.int64))
+        move = t.w["move"] + t.rule
+        for k in range(40):
+            best, came = e[0, :, k], []
+            for step in e[1:, :, k]:
+                came.append((best[:, None] + move).argmax(axis=0))
+                best = (best[:, None] + move).max(axis=0) + step
+            path = [int(best.argmax())]
+            for c in came[::-1]:
+                path.append(int(c[path[-1]]))
+            assert path[::-1] == tags[k].tolist()
+            assert np.allclose(score[k], e[np.arange(30), tags[k], k] - e[:, 0, k])
+
+
 def test_op5(spark, folder, docs):
     tok = Encoder(queries.vocabulary("byte_bpe_50k.json"), True).tokenizer
     want = Counter()
