@@ -41,7 +41,7 @@ from .common import arrow_pass
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])  # 1 + 2 k is B of kind k, 2 + 2 k is I
 WINDOW, STRIDE, EDGE = 64, 32, 3
-WIDE, LAP, ROWS = 1024, 64, 128
+WIDE, LAP, ROWS = 512, 40, 256
 SAMPLE_DOCS, EXAMPLES, HIDDEN, EMBED, STEPS, BATCH, RATE = 600, 6000, 24, 12, 650, 64, 0.012
 
 #: Fixed patterns of the base.
@@ -182,25 +182,28 @@ class Tagger:
             state = np.multiply(o, flat, out=out[t])
         return out
 
-    def _states(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _states(self, x: np.ndarray) -> np.ndarray:
         """_run() of both ways at once: a step's state, embedding and a 1 are one matrix, so its gates are one product."""
         h, (n, b), kind = HIDDEN, x.shape, self.w["embed"].dtype
         all_in = np.stack([np.concatenate([self.w[f"{p}_{way}"] for p in ("own", "in", "gate")], axis=1) for way in "fb"])
-        all_in[:, : 3 * h] *= kind.type(0.5)  # a sigmoid is a tanh of half its argument
-        held = np.empty((2, n + 1, h + EMBED + 1, b), kind)
-        held[0, :n, h:-1] = np.ascontiguousarray(self.w["embed"].T)[:, x].transpose(1, 0, 2)
-        held[1, :n, h:-1] = held[0, :n, h:-1][::-1]
-        held[:, :, -1], held[:, 0, :h] = 1, 0
+        half, embed = kind.type(0.5), np.ascontiguousarray(self.w["embed"].T)
+        all_in[:, : 3 * h] *= half  # a sigmoid is a tanh of half its argument
+        out, held = np.empty((2, n, h, b), kind), np.zeros((2, h + EMBED + 1, b), kind)
+        held[:, -1] = 1
+        state, forth, back = held[:, :h], held[0, h:-1], held[1, h:-1]
         a, cell = np.empty((2, 4 * h, b), kind), np.zeros((2, h, b), kind)
         gates, i, f, o, g, new = a[:, : 3 * h], a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h :], np.empty_like(cell)
         for t in range(n):
-            np.tanh(np.matmul(all_in, held[:, t], out=a), out=a)
-            gates *= kind.type(0.5)
-            gates += kind.type(0.5)
+            np.take(embed, x[t], axis=1, out=forth, mode="clip")
+            np.take(embed, x[n - 1 - t], axis=1, out=back, mode="clip")
+            np.tanh(np.matmul(all_in, held, out=a), out=a)
+            gates *= half
+            gates += half
             cell *= f
             cell += np.multiply(i, g, out=new)
-            np.multiply(o, np.tanh(cell, out=new), out=held[:, t + 1, :h])
-        return held[0, 1:, :h], held[1, 1:, :h][::-1]
+            np.multiply(o, np.tanh(cell, out=new), out=state)
+            out[0, t], out[1, n - 1 - t] = state
+        return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """x (time, batch) symbols -> (time, tag, batch)."""
