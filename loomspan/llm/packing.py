@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import in_arrow, portions, save
+from .common import in_arrow, portions, save, schema_with
 from .tokens import PORTION, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -173,6 +173,25 @@ def _matches(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, in
     return out
 
 
+def _aimed(left: DataFrame, plan: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """Pieces left (with part and rank) -> with their gap's range and rank there, and their place among its pieces, from rows of _matches();
+    null where no row has them.  Each piece is searched for in the rows, of which a range may have as many as there are ranges."""
+    top = max(to for _, _, to, _, _, _ in plan) + 1
+    part, first, to, g_part, g_first, many = np.array(sorted(plan), np.int64).T  # two rows a range
+    keys = part * top + first
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rank = batch["part"].to_numpy().astype(np.int64), batch["rank"].to_numpy()
+            k = np.maximum(np.searchsorted(keys, own * top + np.minimum(rank, top - 1), "right") - 1, 0)
+            none = (part[k] != own) | (rank < first[k]) | (rank >= to[k])
+            slot = rank - first[k]
+            out = [pa.array(g_part[k].astype(np.int32), mask=none), pa.array(g_first[k] + slot // many[k], mask=none), pa.array(slot % many[k], mask=none)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "g_part", "g_rank", "slot"])
+
+    return in_arrow(left, each, schema_with(left, "g_part int, g_rank long, slot long"))
+
+
 def _round(spark: SparkSession, rows: DataFrame, capacity: int, step: int) -> tuple[list[DataFrame], DataFrame, DataFrame, bool]:
     """Placed pieces, pieces left, gaps, and whether another round may place more."""
     kept = [c for c in rows.columns if c not in ("size", "sequence_id")]
@@ -185,10 +204,8 @@ def _round(spark: SparkSession, rows: DataFrame, capacity: int, step: int) -> tu
     gaps = swept.filter("NOT is_piece").select("size", "sequence_id", "part", "rank")
     plan = _matches(ranges)
     if plan:
-        plan = F.broadcast(spark.createDataFrame(plan, "part int, from long, to long, g_part int, g_from long, each long"))  # two rows a range at most
-        found = left.drop("sequence_id", "offset").join(plan, "part", "left").filter("to IS NULL OR rank >= from AND rank < to")
-        slot = F.col("rank") - F.col("from")
-        found = found.withColumn("g_rank", F.col("g_from") + F.floor(slot / F.col("each"))).withColumn("slot", slot % F.col("each"))
+        aimed = save(spark, _aimed(left.drop("sequence_id", "offset"), plan), "pack-aimed")
+        found, left = aimed.filter("g_part IS NOT NULL"), aimed.filter("g_part IS NULL")
         to = gaps.filter("rank IS NOT NULL").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("size").alias("gap"), "sequence_id")
         past = Window.partitionBy("g_part", "g_rank").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
         found = found.join(to, ["g_part", "g_rank"])
@@ -196,8 +213,6 @@ def _round(spark: SparkSession, rows: DataFrame, capacity: int, step: int) -> tu
         placed.append(found)
         taken = found.groupBy("sequence_id").agg(F.sum("size").alias("taken"))
         gaps = gaps.join(taken, "sequence_id", "left").withColumn("size", F.col("size") - F.coalesce("taken", F.lit(0))).filter("size > 0")
-        spans = plan.groupBy("part").agg(F.max("to").alias("placed"))
-        left = left.join(F.broadcast(spans), "part", "left").filter("placed IS NULL OR rank >= placed")
     left = left.select("size", F.lit(None).cast("long").alias("sequence_id"), *kept)
     gaps = save(spark, gaps.select("size", "sequence_id"), "pack-gaps") if plan else gaps.select("size", "sequence_id")
     least, most = left.agg(F.min("size")).first()[0], gaps.agg(F.max("size")).first()[0]

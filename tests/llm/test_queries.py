@@ -447,6 +447,26 @@ def test_op7_matches():
     assert plan == [(1, 0, 2, 0, 0, 1), (2, 0, 2, 1, 0, 2), (2, 2, 6, 0, 2, 4), (3, 0, 8, 2, 0, 4)]
 
 
+def test_op7_pieces_find_their_gaps_one_by_one(spark, monkeypatch):
+    """A range whose pieces go to the gaps of many ranges: each piece is searched for, not paired with all of them."""
+    plan = packing._matches([*[(k, 0, 0, 1 + k % 3, 200) for k in range(300)], (300, 500, 90, 2, 70), (301, 0, 0, 0, 0), (302, 150, 60, 0, 0)])
+    want = {(p, r): (g, g0 + (r - a) // n, (r - a) % n) for p, a, b, g, g0, n in plan for r in range(a, b)}
+    assert sum(p == 300 for p, *_ in plan) > 100 and (302, 149) in want
+    left = spark.createDataFrame([(7, p, r) for p, k in ((300, 500), (301, 3), (302, 160), (7, 2)) for r in range(k)], "size long, part int, rank long").repartition(3)
+    found = {(x.part, x["rank"]): (x.g_part, x.g_rank, x.slot) for x in packing._aimed(left, plan).collect()}
+    assert len(found) == 665 and found == {k: want.get(k, (None, None, None)) for k in found}
+    joins, save = [], packing.save
+
+    def seen(spark, df, label, **how):
+        joins.extend(x for x in df._jdf.queryExecution().analyzed().toString().split("\n") if re.search(r"Join .*\(part#\d+ = part#\d+\)", x))
+        return save(spark, df, label, **how)
+
+    monkeypatch.setattr(packing, "save", seen)
+    monkeypatch.setattr(packing, "RANGE", 100)
+    packing.pack(spark, spark.createDataFrame([(1 + 7 * i % 90,) for i in range(1000)], "length long"), 100)
+    assert not joins
+
+
 @pytest.mark.parametrize("rows,capacity,top", [(300, 64, 64), (250, 100, 70), (400, 2048, 2048), (300, 100, 3), (100_000, 100, 70)])
 def test_op7_rounds(spark, monkeypatch, rows, capacity, top):
     """In many ranges, with a length that a third of the pieces have: all are placed once, in about as few sequences as best fit."""
