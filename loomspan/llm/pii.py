@@ -41,7 +41,8 @@ from .common import arrow_pass
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])  # 1 + 2 k is B of kind k, 2 + 2 k is I
 WINDOW, STRIDE, EDGE = 64, 32, 3
-WIDE, LAP, ROWS = 512, 40, 256
+#: Rows of WIDE that are run at once, and how many times as many are decoded together.
+WIDE, LAP, ROWS, PORTIONS = 512, 40, 256, 8
 SAMPLE_DOCS, EXAMPLES, HIDDEN, EMBED, STEPS, BATCH, RATE = 600, 6000, 24, 12, 650, 64, 0.012
 
 #: Fixed patterns of the base.
@@ -126,6 +127,8 @@ PADDING = SYMBOLS - 1
 
 
 def encode(text: str) -> np.ndarray:
+    if text.isascii():
+        return _TABLE[np.frombuffer(text.encode(), np.uint8)]
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     out = np.full(len(raw), OTHER_LETTER, np.int64)
     small = raw < 128
@@ -182,36 +185,41 @@ class Tagger:
             state = np.multiply(o, flat, out=out[t])
         return out
 
-    def _states(self, x: np.ndarray) -> np.ndarray:
-        """_run() of both ways at once: a step's state, embedding and a 1 are one matrix, so its gates are one product."""
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """x (time, batch) symbols -> (time, tag, batch): _run() of both ways at once.
+
+        A step's state, embedding and a 1 are one matrix, so its gates and the tags' scores by the
+        state before are one product.  The matrix holds twice the state, and gates are twice
+        themselves: halving is exact, and is left to fewer places.
+        """
         h, (n, b), kind = HIDDEN, x.shape, self.w["embed"].dtype
-        all_in = np.stack([np.concatenate([self.w[f"{p}_{way}"] for p in ("own", "in", "gate")], axis=1) for way in "fb"])
-        half, embed = kind.type(0.5), np.ascontiguousarray(self.w["embed"].T)
+        half, one, embed = kind.type(0.5), kind.type(1), np.ascontiguousarray(self.w["embed"].T)
+        all_in = np.zeros((2, 4 * h + len(TAGS), h + EMBED + 1), kind)
+        for k, way in enumerate("fb"):
+            all_in[k, : 4 * h] = np.concatenate([self.w[f"{p}_{way}"] for p in ("own", "in", "gate")], axis=1)
+            all_in[k, 4 * h :, :h] = self.w["out"][:, k * h : k * h + h]
         all_in[:, : 3 * h] *= half  # a sigmoid is a tanh of half its argument
-        out, held = np.empty((2, n, h, b), kind), np.zeros((2, h + EMBED + 1, b), kind)
+        all_in[:, :, :h] *= half
+        all_in[0, 4 * h :, -1:] = self.w["bias"]
+        held, a = np.zeros((2, h + EMBED + 1, b), kind), np.empty((2, 4 * h + len(TAGS), b), kind)
         held[:, -1] = 1
-        state, forth, back = held[:, :h], held[0, h:-1], held[1, h:-1]
-        a, cell = np.empty((2, 4 * h, b), kind), np.zeros((2, h, b), kind)
-        gates, i, f, o, g, new = a[:, : 3 * h], a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h :], np.empty_like(cell)
+        state, both, fed = held[:, :h], np.concatenate([x, x[::-1]], axis=1), np.empty((EMBED, 2 * b), kind)
+        by_way, place = fed.reshape(EMBED, 2, b).transpose(1, 0, 2), held[:, h:-1]
+        cell, by_step = np.zeros((2, h, b), kind), np.empty((n + 1, 2, len(TAGS), b), kind)
+        bent, gates, i, f, o, g, new = a[:, : 4 * h], a[:, : 3 * h], a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h : 4 * h], np.empty_like(cell)
         for t in range(n):
-            np.take(embed, x[t], axis=1, out=forth, mode="clip")
-            np.take(embed, x[n - 1 - t], axis=1, out=back, mode="clip")
-            np.tanh(np.matmul(all_in, held, out=a), out=a)
-            gates *= half
-            gates += half
+            np.take(embed, both[t], axis=1, out=fed, mode="clip")
+            place[:] = by_way
+            np.matmul(all_in, held, out=a)
+            by_step[t] = a[:, 4 * h :]
+            np.tanh(bent, out=bent)
+            gates += one
             cell *= f
             cell += np.multiply(i, g, out=new)
+            cell *= half
             np.multiply(o, np.tanh(cell, out=new), out=state)
-            out[0, t], out[1, n - 1 - t] = state
-        return out
-
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """x (time, batch) symbols -> (time, tag, batch)."""
-        forth, back = self._states(x)
-        out = np.matmul(self.w["out"][:, :HIDDEN], forth)
-        out += np.matmul(self.w["out"][:, HIDDEN:], back)
-        out += self.w["bias"]
-        return out
+        by_step[n] = np.matmul(all_in, held, out=a)[:, 4 * h :]
+        return by_step[1:, 0] + by_step[:0:-1, 1]
 
     def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Of tags (time, tag, batch), of transitions summed over time and batch, and the log of the partition function, summed."""
@@ -276,26 +284,56 @@ class Tagger:
                 v[k] = 0.99 * v[k] + 0.01 * d**2
                 w -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x (batch, time) -> best tags, and each position's score of its tag over O."""
-        e = self.emissions(np.ascontiguousarray(x.T))
+    def _plain(self, e: np.ndarray) -> np.ndarray:
+        """Of each of a batch, whether O throughout is best for sure.
+
+        A path is O but for some spans.  What a span that ends by a position gains over O is bounded
+        by what it gained before, its I there and the best move to it, or its B there and the best
+        move to that, and a move back to O.  Where no span gains anything, no path does.
+        """
+        move = (self.w["move"] + self.rule).astype(np.float64)
+        own, b, i = move - move[0, 0], np.arange(1, len(move), 2), np.arange(2, len(move), 2)
+        first = (e[:, 1::2] - e[:, :1]).astype(e.dtype)
+        gain = (e[:, 2::2] - e[:, :1]).astype(e.dtype)
+        np.maximum(gain[0], first[0], out=gain[0])
+        first += own[:, b].max(axis=0).astype(e.dtype)[:, None]
+        gain[1:] += np.maximum(own[b, i], own[i, i]).astype(e.dtype)[:, None]
+        for t in range(1, len(e)):
+            gain[t] += gain[t - 1]
+            np.maximum(gain[t], first[t], out=gain[t])
+        back = np.maximum(0, np.maximum(own[b, 0], own[i, 0]))
+        return (gain.max(axis=0) + back[:, None] < -0.01).all(axis=0)  # where rounding counts, decode() tells
+
+    def _best(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions (time, tag, batch) -> best tags, and each position's score of its tag over O (time, batch)."""
         move = self.w["move"] + self.rule
         n, k, b = e.shape
-        best, every, plain = np.empty_like(e), np.empty((k, k, b), e.dtype), e[0, 0].copy()
+        best, every, came = np.empty_like(e), np.empty((k, k, b), e.dtype), np.empty((n, b), np.int64)
         best[0] = e[0]
         for t in range(1, n):
             np.max(np.add(best[t - 1][:, None], move[:, :, None], out=every), axis=0, out=best[t])
             best[t] += e[t]
-            plain += move[0, 0]
-            plain += e[t, 0]
-        tags, score = np.zeros((n, b), np.int64), np.zeros((n, b), e.dtype)
-        own = np.flatnonzero(best[-1].max(axis=0) != plain)  # the others' best is O throughout
-        best, e, came = best[:, :, own], e[:, :, own], np.empty((n, len(own)), np.int64)
         came[-1] = best[-1].argmax(axis=0)
         for t in range(n - 1, 0, -1):
             came[t - 1] = (best[t - 1] + move[:, came[t]]).argmax(axis=0)
-        tags[:, own], score[:, own] = came, np.take_along_axis(e, came[:, None], 1)[:, 0] - e[:, 0]
-        return tags.T, score.T
+        return came, np.take_along_axis(e, came[:, None], 1)[:, 0] - e[:, 0]
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x (batch, time) -> best tags, and each position's score of its tag over O."""
+        tags, score = np.zeros(x.shape, np.int8), np.zeros(x.shape, self.w["move"].dtype)
+        most = max(1, ROWS * WIDE // max(1, x.shape[1]))
+        rows, kept = [], []  # those that need a search, some hundred together
+        for c in range(0, len(x), most):
+            e = self.emissions(np.ascontiguousarray(x[c : c + most].T, np.intp))
+            own = np.flatnonzero(~self._plain(e))
+            if len(own):
+                rows.append(c + own)
+                kept.append(e[:, :, own])
+            if rows and (c + most >= len(x) or sum(map(len, rows)) >= most):
+                at, (came, over) = np.concatenate(rows), self._best(np.concatenate(kept, axis=2))
+                tags[at], score[at] = came.T, over.T
+                rows, kept = [], []
+        return tags, score
 
 
 def _spelt(rng: np.random.Generator, kind: int) -> str:
@@ -413,10 +451,11 @@ def _labels(tagger: Tagger, texts: list[str], places: list[Place], width: int) -
     """text, labelled span, its score, and whether an inner edge cuts it; of windows run for a span, those that touch it."""
     most = max(1, ROWS * WIDE // width)
     size = lambda place: min(width, len(texts[place[0]]) - place[1])
-    places = sorted(places, key=size)  # so that few are padded
-    for c in range(0, len(places), most):
-        own = places[c : c + most]
-        x = np.full((len(own), size(own[-1])), PADDING)
+    places, c = sorted(places, key=size), 0  # so that few are padded
+    while c < len(places):
+        own = places[c : c + most * (PORTIONS if size(places[c]) == width else 1)]
+        c += len(own)
+        x = np.full((len(own), size(own[-1])), PADDING, np.uint8)
         for r, (i, a, _) in enumerate(own):
             s = encode(texts[i][a : a + width])
             x[r, : len(s)] = s

@@ -343,6 +343,25 @@ def test_op4_decodes_as_step_by_step():
             assert np.allclose(score[k], e[np.arange(30), tags[k], k] - e[:, 0, k])
 
 
+def test_op4_searches_few_windows():
+    """Emissions against the states step by step; and windows whose tags are O for sure aren't searched."""
+    rng, tagger = np.random.default_rng(6), pii.Tagger()
+    x = rng.integers(0, pii.SYMBOLS, (90, 7))
+    both = np.concatenate([tagger._run(x, w) for w in "fb"], axis=1)
+    assert np.allclose(tagger.emissions(x), np.matmul(tagger.w["out"], both) + tagger.w["bias"], atol=1e-5)
+    for spread in (0.3, 1, 2, 4):  # never plain where another path is better
+        e = rng.normal(0, spread, (30, len(pii.TAGS), 400)).astype(np.float32)
+        e[:, 0] += 3
+        plain = tagger._plain(e)
+        assert plain.any() == (spread <= 1) and not tagger._best(e)[0][:, plain].any()
+    e[:, 0] += 30
+    e[9:12, [1, 2, 2], [[5], [5], [5]]] += 60  # one window has a span
+    searched, best = [], tagger._best
+    tagger.emissions, tagger._best = lambda x: e, lambda e: searched.append(e.shape[2]) or best(e)
+    tags, _ = tagger.decode(np.zeros((400, 30), np.int64))
+    assert searched == [1] and np.flatnonzero(tags.any(axis=1)).tolist() == [5]
+
+
 def test_op5(spark, folder, docs):
     tok = Encoder(queries.vocabulary("byte_bpe_50k.json"), True).tokenizer
     want = Counter()
