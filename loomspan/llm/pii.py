@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass
+from .common import in_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])  # 1 + 2 k is B of kind k, 2 + 2 k is I
 WINDOW, STRIDE, EDGE = 64, 32, 3
-#: Rows of WIDE that are run at once, and how many times as many are decoded together.
-WIDE, LAP, ROWS, PORTIONS = 512, 40, 256, 8
+#: Rows of WIDE that are run at once (OpenBLAS has a faster way for products up to that size), and how many times as many are decoded together.
+WIDE, LAP, ROWS, PORTIONS = 512, 40, 256, 32
+#: Characters of batches that are taken together, about: few windows left over, and few short runs.
+TOGETHER = 5_000_000
 SAMPLE_DOCS, EXAMPLES, HIDDEN, EMBED, STEPS, BATCH, RATE = 600, 6000, 24, 12, 650, 64, 0.012
 
 #: Fixed patterns of the base.
@@ -111,7 +113,7 @@ def base_spans(text: str) -> list[Span]:
 
 def _symbols() -> np.ndarray:
     """Code point -> symbol: digits are one, letters regardless of case, the rest of ASCII each its own."""
-    table = np.zeros(128, np.int64)
+    table = np.zeros(128, np.uint8)
     for c in range(32, 127):
         ch = chr(c)
         table[c] = 2 if ch.isdigit() else 3 + ord(ch.lower()) - 97 if ch.isalpha() else 0
@@ -130,7 +132,7 @@ def encode(text: str) -> np.ndarray:
     if text.isascii():
         return _TABLE[np.frombuffer(text.encode(), np.uint8)]
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.full(len(raw), OTHER_LETTER, np.int64)
+    out = np.full(len(raw), OTHER_LETTER, np.uint8)
     small = raw < 128
     out[small] = _TABLE[raw[small]]
     return out
@@ -190,7 +192,8 @@ class Tagger:
 
         A step's state, embedding and a 1 are one matrix, so its gates and the tags' scores by the
         state before are one product.  The matrix holds twice the state, and gates are twice
-        themselves: halving is exact, and is left to fewer places.
+        themselves: halving is exact, and is left to fewer places.  The left matrix lies by columns,
+        as OpenBLAS takes it faster.
         """
         h, (n, b), kind = HIDDEN, x.shape, self.w["embed"].dtype
         half, one, embed = kind.type(0.5), kind.type(1), np.ascontiguousarray(self.w["embed"].T)
@@ -201,17 +204,19 @@ class Tagger:
         all_in[:, : 3 * h] *= half  # a sigmoid is a tanh of half its argument
         all_in[:, :, :h] *= half
         all_in[0, 4 * h :, -1:] = self.w["bias"]
+        all_in = np.ascontiguousarray(all_in.transpose(0, 2, 1)).transpose(0, 2, 1)
         held, a = np.zeros((2, h + EMBED + 1, b), kind), np.empty((2, 4 * h + len(TAGS), b), kind)
         held[:, -1] = 1
         state, both, fed = held[:, :h], np.concatenate([x, x[::-1]], axis=1), np.empty((EMBED, 2 * b), kind)
         by_way, place = fed.reshape(EMBED, 2, b).transpose(1, 0, 2), held[:, h:-1]
         cell, by_step = np.zeros((2, h, b), kind), np.empty((n + 1, 2, len(TAGS), b), kind)
         bent, gates, i, f, o, g, new = a[:, : 4 * h], a[:, : 3 * h], a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h : 4 * h], np.empty_like(cell)
-        for t in range(n):
-            np.take(embed, both[t], axis=1, out=fed, mode="clip")
+        scores = a[:, 4 * h :]
+        for symbols, to in zip(both, by_step[:n], strict=True):
+            embed.take(symbols, axis=1, out=fed, mode="clip")
             place[:] = by_way
             np.matmul(all_in, held, out=a)
-            by_step[t] = a[:, 4 * h :]
+            to[:] = scores
             np.tanh(bent, out=bent)
             gates += one
             cell *= f
@@ -293,14 +298,15 @@ class Tagger:
         """
         move = (self.w["move"] + self.rule).astype(np.float64)
         own, b, i = move - move[0, 0], np.arange(1, len(move), 2), np.arange(2, len(move), 2)
-        first = (e[:, 1::2] - e[:, :1]).astype(e.dtype)
-        gain = (e[:, 2::2] - e[:, :1]).astype(e.dtype)
+        first = (e[:, 1::2] - e[:, :1]).astype(e.dtype, copy=False)
+        gain = (e[:, 2::2] - e[:, :1]).astype(e.dtype, copy=False)
         np.maximum(gain[0], first[0], out=gain[0])
         first += own[:, b].max(axis=0).astype(e.dtype)[:, None]
         gain[1:] += np.maximum(own[b, i], own[i, i]).astype(e.dtype)[:, None]
-        for t in range(1, len(e)):
-            gain[t] += gain[t - 1]
-            np.maximum(gain[t], first[t], out=gain[t])
+        before = gain[0]
+        for now, begun in zip(gain[1:], first[1:], strict=True):
+            now += before
+            before = np.maximum(now, begun, out=now)
         back = np.maximum(0, np.maximum(own[b, 0], own[i, 0]))
         return (gain.max(axis=0) + back[:, None] < -0.01).all(axis=0)  # where rounding counts, decode() tells
 
@@ -322,6 +328,7 @@ class Tagger:
         """x (batch, time) -> best tags, and each position's score of its tag over O."""
         tags, score = np.zeros(x.shape, np.int8), np.zeros(x.shape, self.w["move"].dtype)
         most = max(1, ROWS * WIDE // max(1, x.shape[1]))
+        most = max(1, -(-len(x) // max(1, -(-len(x) // most))))  # as many in each run
         rows, kept = [], []  # those that need a search, some hundred together
         for c in range(0, len(x), most):
             e = self.emissions(np.ascontiguousarray(x[c : c + most].T, np.intp))
@@ -447,8 +454,8 @@ def windows(text: str) -> list[int]:
 Place = tuple[int, int, Span | None]  # text, a window's start, the cut span that it is run for
 
 
-def _labels(tagger: Tagger, texts: list[str], places: list[Place], width: int) -> Iterator[tuple[int, Span, float, bool]]:
-    """text, labelled span, its score, and whether an inner edge cuts it; of windows run for a span, those that touch it."""
+def _labels(tagger: Tagger, texts: list[np.ndarray], places: list[Place], width: int) -> Iterator[tuple[int, Span, float, bool]]:
+    """Of texts' symbols: text, labelled span, its score, and whether an inner edge cuts it; of windows run for a span, those that touch it."""
     most = max(1, ROWS * WIDE // width)
     size = lambda place: min(width, len(texts[place[0]]) - place[1])
     places, c = sorted(places, key=size), 0  # so that few are padded
@@ -457,7 +464,7 @@ def _labels(tagger: Tagger, texts: list[str], places: list[Place], width: int) -
         c += len(own)
         x = np.full((len(own), size(own[-1])), PADDING, np.uint8)
         for r, (i, a, _) in enumerate(own):
-            s = encode(texts[i][a : a + width])
+            s = texts[i][a : a + width]
             x[r, : len(s)] = s
         tags, score = tagger.decode(x)
         for r in np.flatnonzero((tags > 0).any(1)):
@@ -510,10 +517,11 @@ def add_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[
     found: dict[int, dict[Span, float]] = {}
     whole: dict[int, list[Span]] = {i: list(b) for i, b in enumerate(base)}
     todo: dict[int, list[Place]] = {WIDE: [(i, a, None) for i, t in enumerate(texts) for a in windows(t)]}
+    symbols = [encode(t) for t in texts]
     while todo:
         cuts: dict[int, list[Span]] = {}
         for width, places in todo.items():
-            for i, span, score, cut in _labels(tagger, texts, places, width):
+            for i, span, score, cut in _labels(tagger, symbols, places, width):
                 if cut:
                     cuts.setdefault(i, []).append(span)
                     continue
@@ -556,6 +564,19 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with about TOGETHER characters of text, or one that has more."""
+    own, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            own.append(batch)
+            size += batch["text"].nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(own)
+            own, size = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
 
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """docs (doc_id, text) -> counts of base spans, their digest, and all spans."""
@@ -570,7 +591,7 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
         out = [batch["doc_id"], *counts, digest, pa.array([written(s) for s in spans], pa.string()), number]
         return pa.RecordBatch.from_arrays(out, names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"])
 
-    return arrow_pass(docs.select("doc_id", "text"), each, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
+    return in_arrow(docs.select("doc_id", "text"), lambda batches: map(each, _gathered(batches)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame, tagger: Tagger) -> DataFrame:
@@ -584,4 +605,4 @@ def redacted(docs: DataFrame, tagger: Tagger) -> DataFrame:
         new = pa.array([None if t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
         return pa.RecordBatch.from_arrays([new if c == "text" else batch[c] for c in columns], names=columns)
 
-    return arrow_pass(docs, each, docs.schema)
+    return in_arrow(docs, lambda batches: map(each, _gathered(batches)), docs.schema)

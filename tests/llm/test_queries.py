@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from loomspan.llm import ann, attribution, chat, langid, media, mixing, packing, pii, queries, simhash, token_files
@@ -362,6 +363,20 @@ def test_op4_searches_few_windows():
     assert searched == [1] and np.flatnonzero(tags.any(axis=1)).tolist() == [5]
 
 
+def test_op4_runs_windows_together(monkeypatch):
+    """Small batches are taken as one, each text is encoded once, and runs have as many windows each."""
+    monkeypatch.setattr(pii, "TOGETHER", 3000)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["x" * n]}) for k, n in enumerate((900, 900, 900, 900, 9000, 5, 5))]
+    assert [b["doc_id"].to_pylist() for b in pii._gathered(iter(batches))] == [[0, 1, 2, 3], [4], [5, 6]]
+    assert list(pii._gathered(iter(()))) == []
+    encoded, encode, runs, tagger = [], pii.encode, [], pii.Tagger()
+    monkeypatch.setattr(pii, "encode", lambda t: encoded.append(t) or encode(t))
+    tagger.emissions = lambda x: runs.append(x.shape) or np.eye(len(pii.TAGS), dtype=np.float32)[:1, :, None].repeat(len(x), 0).repeat(x.shape[1], 2) * 50
+    text = "a" * (pii.LAP + 300 * (pii.WIDE - pii.LAP))
+    assert pii.add_spans(tagger, [text, ""], [[], []]) == [[], []]
+    assert encoded == [text, ""] and runs == [(pii.WIDE, 150)] * 2
+
+
 def test_op5(spark, folder, docs):
     tok = Encoder(queries.vocabulary("byte_bpe_50k.json"), True).tokenizer
     want = Counter()
