@@ -13,7 +13,7 @@ import json
 import os
 import re
 from collections.abc import Callable
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,21 @@ from .common import held
 #: Unicode White_Space, as \s in the tokenizers' own patterns (fixed values).
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: White space other than ASCII's.
-_OTHER = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Characters at which str.split cuts though they aren't White_Space.
+#: White space other than ASCII's, and characters at which str.split cuts though they aren't White_Space; for Arrow.
+_OTHER = "[\x1c-\x1f\x85\xa0  -     　]"
+#: Those characters alone.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters that NFC leaves alone.
-_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_CLASS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_LETTERS = re.compile(f"[{_CLASS}]+").fullmatch
 #: ASCII punctuation without the apostrophe.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-#: White space before a space.
-_TWICE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
-_WIDE = re.compile("[\x85\xa0  -     　] ")
+_WORD = f"[{_CLASS}]+[{re.escape(_MARKS)}]*"
+#: Two words with marks or none, and a line's end between them, for Arrow.
+_LINED = f"^{_WORD}\n{_WORD}$"
+#: White space before a space, for Arrow.
+_TWICE = f"[{_SPACE}] "
 
 #: Pieces that a generation of a cache holds at most, likewise where words have a cache of their own, and characters of a piece that is kept at most.
 CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 130_000, 20_000, 48
@@ -72,6 +75,31 @@ class _Kept(dict):
         self[piece] = ids
         return ids
 
+    def many(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of different pieces, those that aren't there encoded together; all are kept."""
+        found = list(map(self.get, pieces))
+        new = [k for k, x in enumerate(found) if x is None]
+        if not new:
+            return found
+        names = [pieces[k] for k in new]
+        ids = list(map(self.old.get, names))
+        strange = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(strange, encode([names[k] for k in strange]), strict=True):
+            ids[k] = x
+        for k, x in zip(new, ids, strict=True):
+            found[k] = x
+        if max(map(len, names)) > CACHE_CHARS:
+            short = [k for k, x in enumerate(names) if len(x) <= CACHE_CHARS]
+            names, ids = [names[k] for k in short], [ids[k] for k in short]
+        for a in range(0, len(names), self.most):
+            rest = zip(names[a : a + self.most], ids[a : a + self.most], strict=True)
+            self.update(islice(rest, self.most - len(self)))
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+                self.update(rest)
+        return found
+
     def knows(self, piece: str) -> bool:
         return piece in self or piece in self.old
 
@@ -83,6 +111,11 @@ def _split(pieces: pa.StringArray) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py().split(" ")
 
 
+def _after_letters(words: pa.StringArray) -> pa.DictionaryArray:
+    """The marks after words' letters."""
+    return pc.replace_substring_regex(words, f"^[{_CLASS}]+", "").dictionary_encode()
+
+
 def _spread(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat holds parts of these sizes, one after another: the parts of this index, and their sizes."""
     counts = sizes[index]
@@ -118,6 +151,12 @@ class Encoder:
         by_id = self._by_id
         return b"".join([by_id[t.id] for t in self._tokens(space + word)])
 
+    def _words(self, words: list[str], space: str = "") -> list[bytes]:
+        """Likewise of many."""
+        tokens, by_id, join = self._tokens, self._by_id, b"".join
+        as_written = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(self._letters)) for w in words]
+        return [join([by_id[t.id] for t in own]) for own in map(tokens, as_written)]
+
     def _encode_after(self, piece: str) -> tuple[bytes, bool]:
         """Ids of a space and a piece.  It is kept unless its word is new: most words that come once never return."""
         word = piece.rstrip(_MARKS)
@@ -160,57 +199,74 @@ class Encoder:
             return b"".join(map(self._raw.__getitem__, text.split(" ") if _ODD.search(text) else text.split()))
         return self._join(_PIECE.findall(text))
 
-    def _usual(self, text: str) -> bool:
+    def _usual(self, texts: pa.StringArray) -> pa.BooleanArray:
         """Whether cutting before each space, or at ASCII white space where spaces don't count, gives a text's pieces."""
-        if not self.spaced:
-            return not (_ODD.search(text) if text.isascii() else _OTHER.search(text))
-        return not (any(x in text for x in _TWICE) or not text.isascii() and _WIDE.search(text))
+        return pc.and_(pc.invert(pc.match_substring_regex(texts, _TWICE if self.spaced else _OTHER)), pc.greater(pc.binary_length(texts), 0))
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        return self._words(words, "\u0120")  # as _byte_letters() writes a space
 
-    def _together(self, texts: list[str]) -> list[bytes]:
+    def _together(self, texts: pa.StringArray) -> list[bytes]:
         """Ids of usual texts.
 
-        Arrow tells their pieces apart, and words from the marks after them; each different word
-        is looked up once, and numpy puts ids in order, first of pieces, then of texts.
+        Arrow tells their pieces apart, and words from the marks after them, also where a line ends
+        between two of them; each different word is looked up once, and numpy puts ids in order,
+        first of pieces, then of texts.
         """
-        whole = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
-        cut = pc.split_pattern(whole, " ") if self.spaced else pc.ascii_split_whitespace(whole)
+        cut = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
         coded = cut.values.dictionary_encode()
         names, at, edges = coded.dictionary, coded.indices.to_numpy(), cut.offsets.to_numpy()
+        begin, lined = names, pc.match_substring_regex(names, _LINED) if self.spaced else None
+        if lined is not None:  # a line that ends, and the next one's first word, with no space before it
+            lines = pc.split_pattern(names.filter(lined), "\n").values
+            nexts = lines.take(pa.array(np.arange(1, len(lines), 2)))
+            names = pc.replace_with_mask(names, lined, lines.take(pa.array(np.arange(0, len(lines), 2))))
         word = pc.ascii_rtrim(names, characters=_MARKS)
-        plain = pc.match_substring_regex(word, "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$")
+        plain = pc.match_substring_regex(word, f"^[{_CLASS}]+$")
         marked = pc.and_(plain, pc.not_equal(pc.binary_length(word), pc.binary_length(names)))
         cache = self._after if self.spaced else self._raw
-        rests = [x[n:] for x, n in zip(_split(names.filter(marked)), pc.utf8_length(word.filter(marked)).to_pylist(), strict=True)]
+        rests = _after_letters(names.filter(marked))
         odd = names.filter(pc.invert(plain)).to_pylist()
         word = word.filter(plain) if self.spaced else pc.utf8_lower(word.filter(plain))
         word = word.dictionary_encode()
         plain, marked = plain.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
-        # Units: nothing, words, other pieces, marks.  A piece is two units.
-        units = [b"", *map(cache.__getitem__, _split(word.dictionary)), *[cache[x] if x or self.spaced else b"" for x in odd]]
-        two = np.zeros((len(names), 2), np.int64)
-        two[plain, 0] = 1 + word.indices.to_numpy()
-        two[~plain, 0] = 1 + len(word.dictionary) + np.arange(len(odd))
-        marks = {x: len(units) + k for k, x in enumerate(dict.fromkeys(rests))}
-        units += map(self._raw.__getitem__, marks)
-        two[marked, 1] = [marks[x] for x in rests]
+        # Units: nothing, words, other pieces, marks, a line's end, words after it and their marks.  A piece is up to five units.
+        units = [b"", *cache.many(_split(word.dictionary), self._after_space if self.spaced else self._words), *[cache[x] if x or self.spaced else b"" for x in odd]]
+        places = np.zeros((len(names), 5 if self.spaced else 2), np.int64)
+        places[plain, 0] = 1 + word.indices.to_numpy()
+        places[~plain, 0] = 1 + len(word.dictionary) + np.arange(len(odd))
+        places[marked, 1] = len(units) + rests.indices.to_numpy()
+        units += map(self._raw.__getitem__, rests.dictionary.to_pylist())
+        if lined is not None and len(nexts):
+            word = pc.ascii_rtrim(nexts, characters=_MARKS)
+            rests = _after_letters(nexts)
+            word = word.dictionary_encode()
+            lined = lined.to_numpy(zero_copy_only=False)
+            places[lined, 2], places[lined, 3] = len(units), len(units) + 1 + word.indices.to_numpy()
+            units += [self._raw["\n"], *self._raw.many(_split(word.dictionary), self._words)]
+            places[lined, 4] = len(units) + rests.indices.to_numpy()
+            units += [self._raw[x] if x else b"" for x in rests.dictionary.to_pylist()]
         if self.spaced:  # a text's first piece has no space before it
             first = edges[:-1]
             heads, of = np.unique(at[first], return_inverse=True)
-            two = np.concatenate([two, np.stack([len(units) + np.arange(len(heads)), np.zeros(len(heads), np.int64)], axis=1)])
-            units += [self._raw[x] if x else b"" for x in names.take(pa.array(heads)).to_pylist()]
+            first_units = np.zeros((len(heads), places.shape[1]), np.int64)
+            first_units[:, 0] = len(units) + np.arange(len(heads))
+            places = np.concatenate([places, first_units])
+            units += [self._raw[x] if x else b"" for x in begin.take(pa.array(heads)).to_pylist()]
             at = at.copy()
             at[first] = len(names) + of
         sizes = np.array([len(x) for x in units], np.int64) // 4
-        ids, sizes = _spread(np.frombuffer(b"".join(units), "<u4"), sizes, two.ravel())
-        ids, sizes = _spread(ids, sizes.reshape(-1, 2).sum(axis=1), at)
+        ids, sizes = _spread(np.frombuffer(b"".join(units), "<u4"), sizes, places.ravel())
+        ids, sizes = _spread(ids, sizes.reshape(places.shape).sum(axis=1), at)
         raw, ends = ids.tobytes(), (4 * np.concatenate([[0], np.cumsum(sizes)])[edges]).tolist()
         return [raw[a:b] for a, b in pairwise(ends)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        usual = [bool(t) and self._usual(t) for t in texts]
-        many = iter(self._together([t for t, u in zip(texts, usual, strict=True) if u]) if any(usual) else ())
-        return [next(many) if u else self._text(t) for t, u in zip(texts, usual, strict=True)]
+        whole = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
+        usual = self._usual(whole)
+        many = iter(self._together(whole.filter(usual)) if usual.true_count else ())
+        return [next(many) if u else self._text(t) for t, u in zip(texts, usual.to_pylist(), strict=True)]
 
     def spans(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Character starts and ends of a byte-level tokenizer's tokens; a token of part of a character has all of it."""

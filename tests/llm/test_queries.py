@@ -407,6 +407,27 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_words_of_many_texts_are_encoded_together(monkeypatch):
+    """Words are looked up together, lines' first ones too, caches keep their bound, and ids are those of whole texts."""
+    rng = random.Random(8)
+    parts = ["\n", "\n", " ", " ", "  ", "\r\n", "\t", "\xa0", "Word", "naïve", "a", "B", ".", ",", "!)", "'s", "12", "中", "\x1c", "x" * 60]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1500)]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        tok = Encoder(queries.vocabulary(name), spaced)
+        want = [np.array(tok.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert tok.ids(texts) == want
+        tok._raw.most = tok._after.most = 3
+        assert tok.ids(texts) == want and tok.ids([]) == []
+        assert all(len(c) <= 3 and len(c.old) <= 3 for c in (tok._raw, tok._after))
+        tok._raw.many([f"w{chr(97 + k)}" for k in range(8)], tok._words)
+        assert len(tok._raw) <= 3 and len(tok._raw.old) <= 3
+    tok, singly = Encoder(queries.vocabulary("byte_bpe_50k.json"), True), []
+    monkeypatch.setattr(tok, "_join", lambda cut: singly.append(cut) or b"")
+    monkeypatch.setattr(tok, "_word", lambda *word: singly.append(word) or b"")
+    tok.ids(["a first line.\nAnother one\nand, (last) Übung.\nThe End!"])
+    assert not [x for x in singly if x != ("a",)]  # a text's first word
+
+
 def test_op6(spark, folder, docs):
     own = [x for x in brute_ids("byte_bpe_50k.json", sorted(docs, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")))]
     want, start = [], 0
