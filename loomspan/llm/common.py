@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -76,3 +78,22 @@ def portions(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in their order, anew in batches of about `most` bytes in a column of texts, one row at least."""
+    kept, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch[column]).fill_null(0).to_numpy(), dtype=np.int64)
+        a = 0
+        while a < len(ends):
+            before = int(ends[a - 1]) if a else 0
+            b = min(int(np.searchsorted(ends, before + most - size)) + 1, len(ends))
+            kept.append(batch[a:b])
+            size += int(ends[b - 1]) - before
+            if size >= most:
+                yield pa.concat_batches(kept)
+                kept, size = [], 0
+            a = b
+    if kept:
+        yield pa.concat_batches(kept)

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, in_arrow, portions
-from .tokens import PORTION, encoder
+from .common import arrow_pass, gathered, in_arrow
+from .tokens import encoder
 
 WRITER = {
     "compression": "zstd",
@@ -37,28 +38,29 @@ WRITER = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+#: Bytes of texts that are encoded together, about: each different word of them is looked up once.
+GATHERED = 5_000_000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 def encode_sorted(docs: DataFrame, path: str, end_id: int = 0, spaced: bool = True) -> DataFrame:
     """docs (doc_id, text) in their order within each partition -> SCHEMA."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = pa.scalar(np.array([end_id], "<u4").tobytes(), pa.large_binary())
+    nothing = pa.scalar(b"", pa.large_binary())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for a, b in portions(texts, PORTION):
-                rows = [x + end for x in encoder(path, spaced).ids(texts[a:b])]
-                n = np.array([len(x) // 4 for x in rows], np.int64)
-                ends = np.cumsum(n)
-                values = np.frombuffer(b"".join(rows), "<i4")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][a:b], batch["part"][a:b], pa.array(start + ends - n), pa.array(n), lists],
-                    names=["doc_id", "part", "local_start", "n_tokens", "ids"],
-                )
-                start += int(ends[-1])
+        for batch in gathered(batches, "text", GATHERED):
+            rows = encoder(path, spaced).arrays(batch["text"].fill_null(""))
+            _, offsets, values = pc.binary_join_element_wise(rows, end, nothing).buffers()
+            edges = np.frombuffer(offsets, np.int64, len(rows) + 1) // 4
+            values = np.frombuffer(values, "<i4", edges[-1])
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["part"], pa.array(start + edges[:-1]), pa.array(np.diff(edges)), lists],
+                names=["doc_id", "part", "local_start", "n_tokens", "ids"],
+            )
+            start += int(edges[-1])
 
     return in_arrow(docs.select("doc_id", F.spark_partition_id().alias("part"), "text"), each, SCHEMA, keeps=True)
 

@@ -13,7 +13,7 @@ import json
 import os
 import re
 from collections.abc import Callable
-from itertools import islice, pairwise
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ _TWICE = f"[{_SPACE}] "
 
 #: Pieces that a generation of a cache holds at most, likewise where words have a cache of their own, and characters of a piece that is kept at most.
 CACHE_PIECES, CACHE_MARKS, CACHE_CHARS = 130_000, 20_000, 48
+#: Words that are kept as Arrow arrays at most.
+CACHE_WORDS = 300_000
 #: Characters that are encoded together, about.
 PORTION = 2_000_000
 
@@ -104,6 +106,36 @@ class _Kept(dict):
         return piece in self or piece in self.old
 
 
+class _Words:
+    """Ids of different words as Arrow arrays: far smaller than objects, and looked up all at once.
+
+    Those asked for last are kept, `most` of them.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int) -> None:
+        self.encode, self.most = encode, most
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def many(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of each word, those that aren't here encoded together."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null()
+        places = at.fill_null(0).to_numpy().astype(np.int64)
+        unused = np.ones(len(self), bool)
+        is_new = new.to_numpy(zero_copy_only=False)
+        unused[places[~is_new]] = False
+        places[is_new] = len(self) + np.arange(new.true_count)
+        fresh = pa.array(self.encode(_split(words.filter(new))), pa.large_binary())
+        found = pa.concat_arrays([self.ids, fresh]).take(pa.array(places))
+        short, unused = pc.less_equal(pc.utf8_length(words), CACHE_CHARS), pa.array(unused)
+        self.words = pa.concat_arrays([words.filter(short), self.words.filter(unused)])[: self.most]
+        self.ids = pa.concat_arrays([found.filter(short), self.ids.filter(unused)])[: self.most]
+        return found
+
+
 def _split(pieces: pa.StringArray) -> list[str]:
     """Strings without white space as a list: far faster than one by one."""
     if not len(pieces):
@@ -116,16 +148,15 @@ def _after_letters(words: pa.StringArray) -> pa.DictionaryArray:
     return pc.replace_substring_regex(words, f"^[{_CLASS}]+", "").dictionary_encode()
 
 
-def _spread(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """flat holds parts of these sizes, one after another: the parts of this index, and their sizes."""
-    counts = sizes[index]
-    places = np.repeat((np.cumsum(sizes) - sizes)[index] - (np.cumsum(counts) - counts), counts)
-    places += np.arange(len(places))
-    return flat[places], counts
+def _joined(parts: pa.LargeBinaryArray, edges: np.ndarray) -> pa.LargeBinaryArray:
+    """Neighbours put together: from each edge to the next.  No value is moved."""
+    _, offsets, values = parts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[parts.offset :][edges]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(ends), values])
 
 
 class Encoder:
-    """ids() and spans() of texts.  `spaced`: pieces keep the white space before them, and case counts."""
+    """ids() or arrays() of texts, and spans().  `spaced`: pieces keep the white space before them, and case counts."""
 
     def __init__(self, path: str, spaced: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -139,6 +170,7 @@ class Encoder:
         # Pieces as they stand, and, of a tokenizer that keeps spaces, those after one space, without it.
         self._raw = _Kept(self._encode, CACHE_MARKS if spaced else CACHE_PIECES)
         self._after = _Kept(self._encode_after, CACHE_PIECES)
+        self._known = _Words(self._after_space if spaced else self._words, CACHE_WORDS)
         self._lengths: np.ndarray | None = None
 
     def _whole(self, piece: str) -> bytes:
@@ -206,11 +238,11 @@ class Encoder:
     def _after_space(self, words: list[str]) -> list[bytes]:
         return self._words(words, "\u0120")  # as _byte_letters() writes a space
 
-    def _together(self, texts: pa.StringArray) -> list[bytes]:
+    def _together(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
         """Ids of usual texts.
 
         Arrow tells their pieces apart, and words from the marks after them, also where a line ends
-        between two of them; each different word is looked up once, and numpy puts ids in order,
+        between two of them; each different word is looked up once, and ids are put in order,
         first of pieces, then of texts.
         """
         cut = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
@@ -230,43 +262,54 @@ class Encoder:
         word = word.filter(plain) if self.spaced else pc.utf8_lower(word.filter(plain))
         word = word.dictionary_encode()
         plain, marked = plain.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
-        # Units: nothing, words, other pieces, marks, a line's end, words after it and their marks.  A piece is up to five units.
-        units = [b"", *cache.many(_split(word.dictionary), self._after_space if self.spaced else self._words), *[cache[x] if x or self.spaced else b"" for x in odd]]
-        places = np.zeros((len(names), 5 if self.spaced else 2), np.int64)
-        places[plain, 0] = 1 + word.indices.to_numpy()
-        places[~plain, 0] = 1 + len(word.dictionary) + np.arange(len(odd))
-        places[marked, 1] = len(units) + rests.indices.to_numpy()
+        # Units: words, nothing, other pieces, marks, a line's end, words after it and their marks.  A piece is up to five units.
+        known = self._known.many(word.dictionary)
+        nothing = len(known)
+        units = [b"", *[cache[x] if x or self.spaced else b"" for x in odd]]
+        places = np.full((len(names), 5 if self.spaced else 2), nothing, np.int64)
+        places[plain, 0] = word.indices.to_numpy()
+        places[~plain, 0] = nothing + 1 + np.arange(len(odd))
+        places[marked, 1] = nothing + len(units) + rests.indices.to_numpy()
         units += map(self._raw.__getitem__, rests.dictionary.to_pylist())
         if lined is not None and len(nexts):
             word = pc.ascii_rtrim(nexts, characters=_MARKS)
             rests = _after_letters(nexts)
             word = word.dictionary_encode()
             lined = lined.to_numpy(zero_copy_only=False)
-            places[lined, 2], places[lined, 3] = len(units), len(units) + 1 + word.indices.to_numpy()
+            places[lined, 2], places[lined, 3] = nothing + len(units), nothing + len(units) + 1 + word.indices.to_numpy()
             units += [self._raw["\n"], *self._raw.many(_split(word.dictionary), self._words)]
-            places[lined, 4] = len(units) + rests.indices.to_numpy()
+            places[lined, 4] = nothing + len(units) + rests.indices.to_numpy()
             units += [self._raw[x] if x else b"" for x in rests.dictionary.to_pylist()]
         if self.spaced:  # a text's first piece has no space before it
             first = edges[:-1]
             heads, of = np.unique(at[first], return_inverse=True)
-            first_units = np.zeros((len(heads), places.shape[1]), np.int64)
-            first_units[:, 0] = len(units) + np.arange(len(heads))
+            first_units = np.full((len(heads), places.shape[1]), nothing, np.int64)
+            first_units[:, 0] = nothing + len(units) + np.arange(len(heads))
             places = np.concatenate([places, first_units])
             units += [self._raw[x] if x else b"" for x in begin.take(pa.array(heads)).to_pylist()]
             at = at.copy()
             at[first] = len(names) + of
-        sizes = np.array([len(x) for x in units], np.int64) // 4
-        ids, sizes = _spread(np.frombuffer(b"".join(units), "<u4"), sizes, places.ravel())
-        ids, sizes = _spread(ids, sizes.reshape(places.shape).sum(axis=1), at)
-        raw, ends = ids.tobytes(), (4 * np.concatenate([[0], np.cumsum(sizes)])[edges]).tolist()
-        return [raw[a:b] for a, b in pairwise(ends)]
+        every = pa.concat_arrays([known, pa.array(units, pa.large_binary())]).take(pa.array(places.ravel()))
+        pieces = _joined(every, np.arange(0, places.size + 1, places.shape[1]))
+        return _joined(pieces.take(pa.array(at)), edges)
+
+    def arrays(self, texts: pa.StringArray, as_text: Callable[[int], str] | None = None) -> pa.LargeBinaryArray:
+        """Little-endian unsigned 32-bit ids of each text.  as_text: a text by its place, if that isn't in Arrow's."""
+        usual = self._usual(texts)
+        many = self._together(texts.filter(usual)) if usual.true_count else pa.array([], pa.large_binary())
+        if usual.true_count == len(texts):
+            return many
+        usual = usual.to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(~usual).tolist()
+        single = pa.array([self._text(as_text(k) if as_text else texts[k].as_py()) for k in others], pa.large_binary())
+        places = np.cumsum(usual) - 1
+        places[others] = len(many) + np.arange(len(others))
+        return pa.concat_arrays([many, single]).take(pa.array(places))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Likewise of objects."""
         whole = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
-        usual = self._usual(whole)
-        many = iter(self._together(whole.filter(usual)) if usual.true_count else ())
-        return [next(many) if u else self._text(t) for t, u in zip(texts, usual.to_pylist(), strict=True)]
+        return self.arrays(whole, texts.__getitem__).to_pylist()
 
     def spans(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Character starts and ends of a byte-level tokenizer's tokens; a token of part of a character has all of it."""

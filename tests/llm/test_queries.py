@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from loomspan.llm import ann, attribution, chat, langid, media, mixing, packing, pii, queries, simhash, token_files
-from loomspan.llm.common import shared_path
+from loomspan.llm import ann, attribution, chat, langid, media, mixing, packing, pii, queries, simhash, token_files, tokens
+from loomspan.llm.common import gathered, shared_path
 from loomspan.llm.tokens import Encoder
 
 ALL = queries.queries()
@@ -428,6 +428,35 @@ def test_words_of_many_texts_are_encoded_together(monkeypatch):
     assert not [x for x in singly if x != ("a",)]  # a text's first word
 
 
+def test_words_are_looked_up_together_and_those_asked_for_last_are_kept():
+    asked = []
+    known = tokens._Words(lambda words: asked.append(words) or [w.upper().encode() for w in words], 4)
+    for words, new in ((["a", "b", "c"], ["a", "b", "c"]), (["d", "b"], ["d"]), (["e", "f"], ["e", "f"]), (["b", "a", "x" * 60], ["a", "x" * 60]), (["x" * 60], ["x" * 60])):
+        assert known.many(pa.array(words)).to_pylist() == [w.upper().encode() for w in words]
+        assert asked.pop() == new and len(known) <= 4 and len(known.ids) == len(known)
+    assert known.words.to_pylist() == ["b", "a", "e", "f"]
+
+
+def test_texts_are_gathered_before_they_are_encoded():
+    rows = [{"doc_id": k, "text": None if k % 7 == 3 else "x" * (k % 11)} for k in range(100)]
+    batches = [pa.RecordBatch.from_pylist(rows[a : a + 6], pa.schema({"doc_id": pa.int64(), "text": pa.string()})) for a in range(0, 100, 6)]
+    for most in (1, 40, 10_000):
+        out = list(gathered(iter(batches), "text", most))
+        assert [r for b in out for r in b.to_pylist()] == rows
+        sizes = [sum(len(r["text"] or "") for r in b.to_pylist()) for b in out]
+        assert all(most <= n < most + 11 for n in sizes[:-1]) and sizes[-1] < most + 11
+    assert list(gathered(iter([]), "text", 5)) == []
+
+
+def test_ids_from_arrow_are_those_of_the_texts():
+    texts = ["one two\nThree, (four)", "", "  odd  spaces ", "one  ", " ", "\n", "Übung two"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        tok = Encoder(queries.vocabulary(name), spaced)
+        want = [np.array(tok.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert tok.arrays(pa.array(["cut off", *texts])[1:]).to_pylist() == want
+        assert tok.arrays(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_op6(spark, folder, docs):
     own = [x for x in brute_ids("byte_bpe_50k.json", sorted(docs, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")))]
     want, start = [], 0
